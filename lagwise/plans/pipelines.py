@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lagwise.operators import causality, evaluate, models
 from lagwise.operators import features as fx
 from lagwise.operators import needs as nd
 from lagwise.operators import weather as wx
 from lagwise.operators.align import alignment_report
-from lagwise.schemas import NEEDS_DAILY, WEATHER_DAILY
+from lagwise.operators.features import with_current_weather
+from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, NEEDS_DAILY, WEATHER_DAILY
+from lagwise.session import cut_lineage
 
 
 def clean_weather(raw: DataFrame, calendar: bool = False) -> DataFrame:
@@ -50,3 +54,59 @@ def build_features(weather: DataFrame, needs: DataFrame, calendar: bool = False,
     df = fx.add_event_features(df, weather)
     df = fx.add_interactions(df)
     return fx.select_features(fx.drop_incomplete_lags(df))
+
+
+def causal_report(features: DataFrame, weather: DataFrame, max_lag: int = causality.MAX_LAG,
+                  significance: float = causality.SIGNIFICANCE) -> DataFrame:
+    """Granger tests of the day's weather on the target, per series."""
+    return causality.granger_tests(with_current_weather(features, weather), max_lag=max_lag, significance=significance)
+
+
+def selected_features(results: DataFrame) -> list[str]:
+    """Names of the selected weather columns: at most the lag columns and the fixed ones."""
+    chosen = causality.select_lag_features(causality.significant_lags(results))
+    return sorted(r["feature"] for r in chosen.collect())
+
+
+def fit_models(features: DataFrame, selected: list[str], settings: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hold-out predictions of the three models, and the gains of the tree models."""
+    train, test = models.holdout(features)
+    everything = models.weather_model(train, test, settings=settings)
+    chosen = models.weather_model(train, test, selected, "granger_selected", settings)
+    predictions = models.baseline(train, test)
+    importances = None
+    for predicted, gains in (everything, chosen):
+        if predicted is not None:
+            predictions = predictions.unionByName(predicted)
+            importances = gains if importances is None else importances.unionByName(gains)
+    return predictions, importances
+
+
+def holdout_comparison(predictions: DataFrame) -> DataFrame:
+    """Metrics per model and improvement over the baseline."""
+    metrics = evaluate.forecast_metrics(predictions, ["model_type"], min_test=models.MIN_TEST)
+    return evaluate.model_comparison(metrics)
+
+
+def evaluation(features: DataFrame, selected: list[str], settings: dict | None = None, drift_settings: dict | None = None,
+               min_train_days: int = evaluate.MIN_TRAIN_DAYS, test_days: int = evaluate.TEST_DAYS) -> DataFrame:
+    """One row with the stability reports, both drift analyses and the improvements.
+
+    The feature matrix is checkpointed once, as every model fit reads it again; so are the
+    results of the fits, as several parts of the summary read those.
+    """
+    rows = cut_lineage(features)
+    metrics = cut_lineage(evaluate.rolling_validation(rows, selected, settings, min_train_days, test_days))
+    reports = evaluate.stability_report(metrics)
+    all_columns = [*BASE_FEATURES, *ALL_WEATHER_FEATURES]
+    drift = cut_lineage(
+        models.extreme_weather(rows, all_columns, drift_settings).withColumn("model", F.lit("granger_selected"))
+        .unionByName(models.extreme_weather(rows, BASE_FEATURES, drift_settings).withColumn("model", F.lit("baseline")))
+    )
+    packed = F.array_sort(F.collect_list(F.struct("*")))
+    return evaluate.improvements(reports, drift).select(
+        F.struct("*").alias("improvements"),
+        reports.agg(packed).scalar().alias("stability_reports"),
+        models.seasonal_drift(rows, all_columns).agg(packed).scalar().alias("seasonal_drift"),
+        drift.select("model", *[c for c in drift.columns if c != "model"]).agg(packed).scalar().alias("extreme_weather_drift"),
+    )
