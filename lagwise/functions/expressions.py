@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +78,13 @@ def neg_log10_p(p: Column, floor: float = 1e-10) -> Column:
 
 def day_number(date: Column) -> Column:
     return F.datediff(date, F.lit("1970-01-01").cast("date"))
+
+
+def complete(columns) -> Column:
+    """True where none of the columns is NULL or NaN.
+
+    One check per column, not one function of all of them: the optimizer rewrites a condition
+    once per combination of the aliases it mentions, which is exponential for a wide one.
+    """
+    checks = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    return reduce(lambda a, b: a & b, checks)

@@ -193,10 +193,11 @@ def cross_correlations(df: DataFrame, variable: str = "max_temp", target: str =
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     values = df.select(*keys, *order, F.col(target).cast("double").alias("_y"), F.col(variable).cast("double").alias("_x0"))
-    lagged = values.withColumns({f"_x{k}": F.lag("_x0", k).over(w) for k in range(1, max_lag + 1)})
-    groups = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.corr(f"_x{k}", "_y").alias(f"_c{k}") for k in range(max_lag + 1)]
-    ).filter(F.col("_n") >= max_lag + 5)
-    pairs = [F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("corr")) for k in range(max_lag + 1)]
-    long = groups.select(F.inline(F.array(*pairs))).filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    lagged = values.withColumns({
+        "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
+        **{f"_x{k}": F.lag("_x0", k).over(w) for k in range(1, max_lag + 1)},
+    }).filter(F.col("_n") >= max_lag + 5)
+    pairs = [F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x"), F.col("_y").alias("y")) for k in range(max_lag + 1)]
+    groups = lagged.select(*keys, F.inline(F.array(*pairs))).groupBy(*keys, "lag").agg(F.corr("x", "y").alias("corr"))
+    long = groups.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
     return long.groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import round_stable
+from lagwise.functions.expressions import complete, round_stable
 from lagwise.operators.gram import gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.operators.models import (
     MIN_TRAIN, TARGET, TREES, available, prediction_rows, weather_model,
@@ -108,8 +108,7 @@ def rolling_linear(df: DataFrame, columns: Sequence[str] = tuple(BASELINE_FEATUR
         "split_index", least_squares(F.col("moments"), alpha).alias("coefficients"),
         F.col("moments")[0].alias("n_train"),
     ).filter(F.col("n_train") >= MIN_TRAIN)
-    complete = bucketed.filter("_open").dropna(subset=[*columns, TARGET])
-    scored = complete.join(F.broadcast(fits), "split_index")
+    scored = bucketed.filter("_open").filter(complete([*columns, TARGET])).join(F.broadcast(fits), "split_index")
     return prediction_rows(
         scored, model, linear_prediction(F.col("coefficients"), columns), F.col("split_index"), F.col("n_train"))
 

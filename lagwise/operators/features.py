@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import flag, season_of
+from lagwise.functions.expressions import complete, flag, season_of
 from lagwise.operators.needs import SERIES
 from lagwise.operators.windows import add_lags, add_rolling
 from lagwise.schemas import EVENT_FLAGS, FEATURE_COLUMNS, FEATURE_INTS, TARGET_LAGS, WEATHER_LAGS
@@ -93,7 +93,7 @@ def add_interactions(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete_lags(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=[c for c in df.columns if "_lag_" in c])
+    return df.filter(complete([c for c in df.columns if "_lag_" in c]))
 
 
 def select_features(df: DataFrame, text_dates: bool = False) -> DataFrame:

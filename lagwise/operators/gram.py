@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lagwise.functions.expressions import complete
 from lagwise.functions.statistics import ridge_solve
 
 # Up to this many products the sums stay in the query plan; beyond it the generated code
@@ -30,14 +31,14 @@ def positions(width: int) -> list[tuple[int, int]]:
 
 def moment_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows (keys, pos, value): sums of products of (1, columns) over complete rows."""
-    complete = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(columns))
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).filter(complete(columns))
     where = positions(len(columns))
     if len(where) <= MAX_PLAN_PRODUCTS:
         terms = [F.lit(1.0), *[F.col(c) for c in columns]]
-        sums = complete.groupBy(*keys).agg(*[F.sum(terms[i] * terms[j]).alias(f"_{k}") for k, (i, j) in enumerate(where)])
+        sums = rows.groupBy(*keys).agg(*[F.sum(terms[i] * terms[j]).alias(f"_{k}") for k, (i, j) in enumerate(where)])
         pairs = [F.struct(F.lit(k).alias("pos"), F.col(f"_{k}").alias("value")) for k in range(len(where))]
         return sums.select(*keys, F.inline(F.array(*pairs)))
-    return _batch_sums(complete, keys, columns).groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
+    return _batch_sums(rows, keys, columns).groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
 
 
 def _batch_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import round_half_even, round_stable
+from lagwise.functions.expressions import complete, round_half_even, round_stable
 from lagwise.operators.gram import gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, BASELINE_FEATURES, EVENT_FLAGS
 
@@ -65,24 +65,23 @@ def baseline(train: DataFrame, test: DataFrame, columns: Sequence[str] = tuple(B
     """
     columns = available(train, columns)
     fitted = fit_linear(train, columns).filter(F.col("n_train") >= MIN_TRAIN)
-    complete = test.dropna(subset=[*columns, TARGET]).withColumn(
-        "_fit", fitted.select(F.struct("coefficients", "n_train")).scalar())
-    scored = complete.filter(F.col("_fit").isNotNull())
+    scored = test.filter(complete([*columns, TARGET])).withColumn(
+        "_fit", fitted.select(F.struct("coefficients", "n_train")).scalar()).filter(F.col("_fit").isNotNull())
     fit = F.col("_fit")
     return prediction_rows(scored, model, linear_prediction(fit["coefficients"], columns), F.lit(0), fit["n_train"])
 
 
 def fit_trees(train: DataFrame, columns: Sequence[str], settings: dict | None = None) -> GBTRegressionModel:
     """Boosted regression trees on complete rows."""
-    rows = train.dropna(subset=[*columns, TARGET])
+    rows = train.filter(complete([*columns, TARGET]))
     assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
     labelled = assembled.select("features", F.col(TARGET).cast("double").alias("label"))
     return GBTRegressor(featuresCol="features", labelCol="label", **(settings or TREES)).fit(labelled)
 
 
 def tree_predictions(model: GBTRegressionModel, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    complete = rows.dropna(subset=[*columns, TARGET])
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(complete)
+    whole = rows.filter(complete([*columns, TARGET]))
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(whole)
     return model.transform(assembled).drop("features")
 
 
@@ -95,8 +94,8 @@ def weather_model(train: DataFrame, test: DataFrame, weather_features: Sequence[
     so equal inputs give equal trees.
     """
     columns = available(train, list(dict.fromkeys([*BASE_FEATURES, *weather_features])))
-    n_train = train.dropna(subset=[*columns, TARGET]).count()
-    n_test = test.dropna(subset=[*columns, TARGET]).limit(MIN_TEST).count()
+    n_train = train.filter(complete([*columns, TARGET])).count()
+    n_test = test.filter(complete([*columns, TARGET])).limit(MIN_TEST).count()
     if n_train < MIN_TRAIN or n_test < MIN_TEST:
         return None, None
     fitted = fit_trees(train, columns, settings)
@@ -114,7 +113,7 @@ def seasonal_drift(df: DataFrame, columns: Sequence[str] = (*BASE_FEATURES, *ALL
     there are two of them.
     """
     columns = available(df, columns)
-    seasonal = df.dropna(subset=[*columns, TARGET])
+    seasonal = df.filter(complete([*columns, TARGET]))
     fits = fit_linear(seasonal, columns, RIDGE_ALPHA, keys=["season"]).withColumnRenamed("season", "train_season")
     step = F.lit(None).cast("string")
     for before, after in SEASON_STEPS:
@@ -160,14 +159,14 @@ EXTREME_SCHEMA = (
 def extreme_split(df: DataFrame, columns: Sequence[str], order: Sequence[str] = ("date", "region_id", "need_type"),
                   share: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, normal test, extreme) rows; train is the first share of the normal rows in order."""
-    complete = df.dropna(subset=[*columns, TARGET])
-    normal = complete.filter(f"NOT ({EXTREME})")
+    whole = df.filter(complete([*columns, TARGET]))
+    normal = whole.filter(f"NOT ({EXTREME})")
     cut = F.floor(normal.agg(F.count(F.lit(1))).scalar() * F.lit(share))
     placed = with_position(normal, order)
     return (
         placed.filter(F.col("position") <= cut).drop("position"),
         placed.filter(F.col("position") > cut).drop("position"),
-        complete.filter(EXTREME),
+        whole.filter(EXTREME),
     )
 
 
@@ -182,7 +181,7 @@ def extreme_weather(df: DataFrame, columns: Sequence[str] = (*BASE_FEATURES, *AL
     if any(c not in df.columns for c in EVENT_FLAGS[:2]):
         return empty
     kind = F.when(F.expr(EXTREME), "extreme").otherwise("normal").alias("kind")
-    sizes = {r["kind"]: r["count"] for r in df.dropna(subset=[*columns, TARGET]).groupBy(kind).count().collect()}
+    sizes = {r["kind"]: r["count"] for r in df.filter(complete([*columns, TARGET])).groupBy(kind).count().collect()}
     if sizes.get("normal", 0) < 50 or sizes.get("extreme", 0) < 10:
         return empty
     train, normal_test, extreme = extreme_split(df, columns)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +73,23 @@ def lag_heatmap(results: DataFrame, lags: Sequence[int], keys: Sequence[str] = (
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Rows (feature, then one value per column), pairwise complete, from a single pass."""
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
-    values = doubles.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rounded = values.select(*[round_stable(F.col(f"`{a}|{b}`"), digits).alias(f"{a}|{b}") for a, b in pairs])
-
-    def entry(a: str, b: str):
-        name = f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"
-        return F.col(f"`{name}`").alias(b)
-
-    rows = [F.struct(F.lit(a).alias("feature"), *[entry(a, b) for b in columns]) for a in columns]
-    return rounded.select(F.inline(F.array(*rows)))
+    """Rows (feature, then one value per column), pairwise complete, from a single pass.
+
+    Each row is laid out as its column pairs, which partial aggregation folds again before the
+    shuffle; one aggregate over all pairs at once would outgrow generated code.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    laid_out = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs
+    ]
+    found = df.select(F.inline(F.array(*laid_out))).groupBy("a", "b").agg(
+        round_stable(F.corr("x", "y"), digits).alias("r"))
+    both = found.select(F.inline(F.array(
+        F.struct(F.col("a").alias("feature"), F.col("b").alias("other"), "r"),
+        F.struct(F.col("b").alias("feature"), F.col("a").alias("other"), "r"),
+    )))
+    return both.groupBy("feature").pivot("other", list(columns)).agg(F.max("r"))
 
 
 def p_histogram(results: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
