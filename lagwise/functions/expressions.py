@@ -88,3 +88,13 @@ def complete(columns) -> Column:
     """
     checks = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
     return reduce(lambda a, b: a & b, checks)
+
+
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: pairwise-complete correlation, NULL where either side does not vary.
+
+    The built-in one raises on zero variance under ANSI rules.
+    """
+    a = F.when(F.col(y).isNotNull(), F.col(x))
+    b = F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import round_half_even
+from lagwise.functions.expressions import correlation, round_half_even
 from lagwise.functions.statistics import lag_moments, nested_f_test, unit_root_test
 from lagwise.operators.needs import SERIES
 from lagwise.operators.summary import smallest_p
@@ -198,6 +198,6 @@ def cross_correlations(df: DataFrame, variable: str = "max_temp", target: str =
         **{f"_x{k}": F.lag("_x0", k).over(w) for k in range(1, max_lag + 1)},
     }).filter(F.col("_n") >= max_lag + 5)
     pairs = [F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x"), F.col("_y").alias("y")) for k in range(max_lag + 1)]
-    groups = lagged.select(*keys, F.inline(F.array(*pairs))).groupBy(*keys, "lag").agg(F.corr("x", "y").alias("corr"))
+    groups = lagged.select(*keys, F.inline(F.array(*pairs))).groupBy(*keys, "lag").agg(correlation("x", "y").alias("corr"))
     long = groups.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
     return long.groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))

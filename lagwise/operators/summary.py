@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import neg_log10_p, round_stable
+from lagwise.functions.expressions import correlation, neg_log10_p, round_stable
 from lagwise.schemas import EVENT_FLAGS
 
 # Number of equal bins over [0, 1] in the p-value histogram.
@@ -84,7 +84,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -
         for a, b in pairs
     ]
     found = df.select(F.inline(F.array(*laid_out))).groupBy("a", "b").agg(
-        round_stable(F.corr("x", "y"), digits).alias("r"))
+        round_stable(correlation("x", "y"), digits).alias("r"))
     both = found.select(F.inline(F.array(
         F.struct(F.col("a").alias("feature"), F.col("b").alias("other"), "r"),
         F.struct(F.col("b").alias("feature"), F.col("a").alias("other"), "r"),

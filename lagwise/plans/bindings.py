@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 
 from lagwise.operators.features import join_weather
 from lagwise.plans import pipelines
+from lagwise.session import cut_lineage
 
 LATE = 10**12
 
 
+_schemas: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the files once and reused, which saves a job per read."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +124,11 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.build_features(weather_daily(spark, sf_dir), needs_daily(spark, sf_dir))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature matrix as the models read it: computed once, in reliable storage."""
+    return cut_lineage(feature_matrix(spark, sf_dir))
+
+
 def causal_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One test result per line item: the line number is the lag, p is spread over [0, 1)."""
     lineitem, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))

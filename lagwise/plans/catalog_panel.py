@@ -378,7 +378,7 @@ def u3(spark, sf):
     return orders.unionByName(lines, allowMissingColumns=True)
 
 
-_ALIGN = f"""
+ALIGNMENT = f"""
 SELECT (SELECT COUNT(DISTINCT region_id) FROM needs_counts) AS social_needs_states,
        (SELECT COUNT(DISTINCT region_id) FROM weather_side) AS weather_states,
        (SELECT COUNT(*) FROM (SELECT region_id FROM needs_counts INTERSECT SELECT region_id FROM weather_side)) AS matched_states,
@@ -395,7 +395,7 @@ FROM (SELECT COUNT(*) AS pairs, COUNT(*) FILTER (WHERE hit) AS matched FROM (
 
 
 @query("v1_alignment_report", with_inputs(
-    _ALIGN, "needs_counts", "raw_weather", weather_side="SELECT * FROM raw_weather WHERE region_id <> 'ASIA'"))
+    ALIGNMENT, "needs_counts", "raw_weather", weather_side="SELECT * FROM raw_weather WHERE region_id <> 'ASIA'"))
 def v1(spark, sf):
     side = b.raw_weather(spark, sf).filter(F.col("region_id") != "ASIA")
     report = align.alignment_report(a1(spark, sf), side)

@@ -12,8 +12,9 @@ from lagwise.operators.features import with_current_weather
 from lagwise.plans import bindings as b
 from lagwise.plans import pipelines
 from lagwise.plans.bindings import stable, table, with_inputs
+from lagwise.plans.catalog_panel import ALIGNMENT
 from lagwise.schemas import WEATHER_LAGS
-from lagwise.session import shared_dir
+from lagwise.session import cut_lineage, shared_dir
 from lagwise.sources import referrals, tables
 
 QUERIES = {}
@@ -505,7 +506,7 @@ SELECT COUNT(*) FILTER (WHERE date < (SELECT MAX(date) - 30 FROM feature_matrix)
        MIN(date) FILTER (WHERE date >= (SELECT MAX(date) - 30 FROM feature_matrix)) AS test_start FROM feature_matrix
 """, "feature_matrix"))
 def m1(spark, sf):
-    train, test = models.holdout(b.feature_matrix(spark, sf))
+    train, test = models.holdout(b.stored_features(spark, sf))
     counted = train.agg(F.count(F.lit(1)).alias("n_train"))
     return counted.select(
         "n_train", test.agg(F.count(F.lit(1))).scalar().alias("n_test"), test.agg(F.min("date")).scalar().alias("test_start"))
@@ -513,7 +514,7 @@ def m1(spark, sf):
 
 @query("m2_baseline")
 def m2(spark, sf):
-    return models.baseline(*models.holdout(b.feature_matrix(spark, sf)))
+    return models.baseline(*models.holdout(b.stored_features(spark, sf)))
 
 
 @query("m2_p17_single_regressor", with_inputs(f"""
@@ -524,26 +525,26 @@ FROM feature_matrix, (SELECT regr_intercept(target_count, target_lag_7) AS a, re
 WHERE date >= (SELECT MAX(date) - 30 FROM feature_matrix)
 """, "feature_matrix"))
 def m2_single(spark, sf):
-    found = models.baseline(*models.holdout(b.feature_matrix(spark, sf)), columns=["target_lag_7"])
+    found = models.baseline(*models.holdout(b.stored_features(spark, sf)), columns=["target_lag_7"])
     return found.drop("model_type", "split_index").withColumn("predicted", ex.round_stable(F.col("predicted"), 6))
 
 
 @query("m3_weather_trees")
 def m3(spark, sf):
-    train, test = models.holdout(b.feature_matrix(spark, sf))
+    train, test = models.holdout(b.stored_features(spark, sf))
     return models.weather_model(train, test, settings=SMALL_TREES)[0]
 
 
 @query("m4_selected_trees")
 def m4(spark, sf):
     selected = pipelines.selected_features(b.causal_results(spark, sf))
-    train, test = models.holdout(b.feature_matrix(spark, sf))
+    train, test = models.holdout(b.stored_features(spark, sf))
     return models.weather_model(train, test, selected, "granger_selected", SMALL_TREES)[1]
 
 
 @query("m5_seasonal_drift")
 def m5(spark, sf):
-    return models.seasonal_drift(b.feature_matrix(spark, sf))
+    return models.seasonal_drift(b.stored_features(spark, sf))
 
 
 @query("m5_seasonal_drift_single", with_inputs(f"""
@@ -559,20 +560,20 @@ FROM (SELECT fit.season AS train_season, f.season AS test_season, fit.n,
 GROUP BY ALL
 """, "feature_matrix"))
 def m5_single(spark, sf):
-    return models.seasonal_drift(b.feature_matrix(spark, sf), ["tmax_lag_1"])
+    return models.seasonal_drift(b.stored_features(spark, sf), ["tmax_lag_1"])
 
 
 @query("m6_extreme_split", with_inputs("""
-SELECT 'train' AS part, date, region_id, need_type FROM normal WHERE at <= floor(n * 0.8)
-UNION ALL SELECT 'normal', date, region_id, need_type FROM normal WHERE at > floor(n * 0.8)
+SELECT 'train' AS part, date, region_id, need_type FROM normal WHERE place <= floor(n * 0.8)
+UNION ALL SELECT 'normal', date, region_id, need_type FROM normal WHERE place > floor(n * 0.8)
 UNION ALL SELECT 'extreme', date, region_id, need_type FROM feature_matrix
 WHERE heatwave_flag = 1 OR coldwave_flag = 1 OR heavy_rain_flag = 1
 """, "feature_matrix", normal="""
-SELECT *, row_number() OVER (ORDER BY date, region_id, need_type) AS at, COUNT(*) OVER () AS n FROM feature_matrix
+SELECT *, row_number() OVER (ORDER BY date, region_id, need_type) AS place, COUNT(*) OVER () AS n FROM feature_matrix
 WHERE NOT (heatwave_flag = 1 OR coldwave_flag = 1 OR heavy_rain_flag = 1)
 """))
 def m6_split(spark, sf):
-    parts = models.extreme_split(b.feature_matrix(spark, sf), ["tmax_lag_1"])
+    parts = models.extreme_split(b.stored_features(spark, sf), ["tmax_lag_1"])
     named = [
         df.select(F.lit(name).alias("part"), "date", "region_id", "need_type")
         for name, df in zip(("train", "normal", "extreme"), parts)
@@ -582,7 +583,7 @@ def m6_split(spark, sf):
 
 @query("m6_extreme_weather")
 def m6(spark, sf):
-    return models.extreme_weather(b.feature_matrix(spark, sf), settings=SMALL_TREES)
+    return models.extreme_weather(b.stored_features(spark, sf), settings=SMALL_TREES)
 
 
 # --- evaluation -------------------------------------------------------------------------
@@ -670,7 +671,7 @@ def e4(spark, sf):
 
 @query("e5_rolling_baseline")
 def e5(spark, sf):
-    return evaluate.forecast_metrics(evaluate.rolling_linear(b.feature_matrix(spark, sf)), min_test=3)
+    return evaluate.forecast_metrics(evaluate.rolling_linear(b.stored_features(spark, sf)), min_test=3)
 
 
 @query("e5_rolling_single_regressor", with_inputs(f"""
@@ -685,28 +686,30 @@ FROM splits s JOIN feature_matrix f ON f.date < s.test_start
 WHERE s.n_train >= 20 AND s.n_test >= 5 GROUP BY ALL
 """))
 def e5_single(spark, sf):
-    predicted = evaluate.rolling_linear(b.feature_matrix(spark, sf), ["target_lag_7"])
+    predicted = evaluate.rolling_linear(b.stored_features(spark, sf), ["target_lag_7"])
     return evaluate.forecast_metrics(predicted, ["split_index"]).select(
         "split_index", F.col("n_samples").alias("n_test"), "rmse")
 
 
 @query("e5_rolling_trees")
 def e5_trees(spark, sf):
-    predicted = evaluate.rolling_trees(b.feature_matrix(spark, sf), settings=SMALL_TREES, test_days=1000)
+    predicted = evaluate.rolling_trees(b.stored_features(spark, sf), settings=SMALL_TREES, test_days=1000)
     return evaluate.forecast_metrics(predicted, min_test=3)
 
 
 # --- pipelines --------------------------------------------------------------------------
 
-@query("l3_daily_panel")
+@query("l3_daily_panel", with_inputs(
+    ALIGNMENT, "needs_counts", "raw_weather", weather_side="SELECT * FROM raw_weather"))
 def l3(spark, sf):
-    return pipelines.daily_panel(b.raw_weather(spark, sf), b.referral_feed(spark, sf))[2]
+    report = pipelines.daily_panel(b.raw_weather(spark, sf), b.referral_feed(spark, sf))[2]
+    return report.withColumn("missing_weather_states", F.array_join("missing_weather_states", ","))
 
 
 @query("l5_model_comparison")
 def l5(spark, sf):
     wx = b.weather_daily(spark, sf)
-    features = pipelines.build_features(wx, b.needs_daily(spark, sf))
+    features = cut_lineage(pipelines.build_features(wx, b.needs_daily(spark, sf)))
     selected = pipelines.selected_features(pipelines.causal_report(features, wx))
     return pipelines.holdout_comparison(pipelines.fit_models(features, selected, SMALL_TREES)[0])
 
@@ -714,5 +717,5 @@ def l5(spark, sf):
 @query("l6_evaluation")
 def l6(spark, sf):
     selected = pipelines.selected_features(b.causal_results(spark, sf))
-    return pipelines.evaluation(
-        b.feature_matrix(spark, sf), selected, SMALL_TREES, SMALL_TREES, test_days=1000)
+    found = pipelines.evaluation(b.stored_features(spark, sf), selected, SMALL_TREES, SMALL_TREES, test_days=1000)
+    return found.select(*[F.to_json(c).alias(c) for c in found.columns])

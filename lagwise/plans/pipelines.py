@@ -69,7 +69,10 @@ def selected_features(results: DataFrame) -> list[str]:
 
 
 def fit_models(features: DataFrame, selected: list[str], settings: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hold-out predictions of the three models, and the gains of the tree models."""
+    """Hold-out predictions of the three models, and the gains of the tree models.
+
+    The feature matrix should be a stored or checkpointed table: each fit reads it several times.
+    """
     train, test = models.holdout(features)
     everything = models.weather_model(train, test, settings=settings)
     chosen = models.weather_model(train, test, selected, "granger_selected", settings)
