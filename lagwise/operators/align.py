@@ -28,8 +28,8 @@ def unmatched_rows(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
 
 def matched_pairs(needs: DataFrame, weather: DataFrame, columns: Sequence[str] = tuple(CELL)) -> DataFrame:
     """One row: distinct need cells that have weather."""
-    held = needs.select(*columns).join(weather.select(*columns), list(columns), "left_semi")
-    return held.distinct().agg(F.count(F.lit(1)).alias("matched_pairs"))
+    held = needs.select(*columns).distinct().join(weather.select(*columns), list(columns), "left_semi")
+    return held.agg(F.count(F.lit(1)).alias("matched_pairs"))
 
 
 def _side(df: DataFrame, column: str, is_needs: int) -> DataFrame:

@@ -35,8 +35,13 @@ def missing(column: str) -> Column:
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """One row: child rows whose key the parent table does not have."""
-    return child.join(parent.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    """One row: child rows whose key the parent table does not have; a missing key is no orphan.
+
+    Child rows are counted per key before the anti join.
+    """
+    counted = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    lost = counted.join(parent.select(key), key, "left_anti")
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
 
 
 def unexpected_values(df: DataFrame, column: str, allowed: Iterable) -> DataFrame:

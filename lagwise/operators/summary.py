@@ -172,3 +172,9 @@ def stability_rating(reports: DataFrame, cv: str = "cv_rmse") -> DataFrame:
     return reports.withColumn("stability", rating)
 
 
+
+
+def splits_per_experiment(metrics: DataFrame, experiments: DataFrame, like: str) -> DataFrame:
+    """Metric rows per experiment of a kind; counted first, so the join sees one row per experiment."""
+    counted = metrics.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("split_count"))
+    return counted.join(experiments.filter(F.col("model_type").like(like)), "experiment_id", "left_semi")

@@ -71,20 +71,56 @@ def missing_report(df: DataFrame, columns: Sequence[str] = tuple(WEATHER_VALUES)
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, float]],
-                      approximate: bool = False) -> DataFrame:
-    """Percentiles per group; `specs` maps output name to (column, share).
-
-    Exact with linear interpolation. `approximate=True` bounds the memory per group for
-    columns with very many distinct values.
+def group_percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float],
+                      approximate: bool = False, buckets: int = 64) -> DataFrame:
+    """Percentiles with linear interpolation per group, one column per entry of `shares`.
+
+    Exact for groups of any size. Approximate percentiles cut a group into buckets of about
+    equal size; counting per bucket tells which buckets hold the ranks asked for, and only
+    those are put in order. No task sees more than one bucket of a group, and equal values
+    are counted before they are ordered.
     """
-    measure = (lambda c, p: F.percentile_approx(c, p, 10000)) if approximate else F.percentile
-    return df.groupBy(*keys).agg(*[measure(F.col(c), p).alias(name) for name, (c, p) in specs.items()])
+    if approximate:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(column, s, 10000).alias(n) for n, s in shares.items()])
+    values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    edges = values.groupBy(*keys).agg(
+        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10000).alias("_edges"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = counts.join(edges, list(keys)).withColumn(
+        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_rows")).withColumn(
+        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    # Ranks are 0-based: share * (n - 1) lies between the ranks below and above it.
+    asked = edges.select(*keys, *[(F.lit(s) * (F.col("_n") - 1)).alias(n) for n, s in shares.items()])
+    ranks = asked.select(*keys, F.array_distinct(F.array(
+        *[f(n).cast("long") for n in shares for f in (F.floor, F.ceil)])).alias("_ranks"))
+    ends = Window.partitionBy(*keys).orderBy("_b")
+    wanted = per_bucket.withColumn("_until", F.lead("_before").over(ends)).join(ranks, list(keys)).withColumn(
+        "_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (F.col("_until").isNull() | (r < F.col("_until"))))
+    ).filter(F.size("_ranks") > 0).drop("_until")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = placed.join(wanted, [*keys, "_b"]).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
+    hits = ordered.select(*keys, "_v", F.explode(F.filter(
+        "_ranks", lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_c")))).alias("_r"))
+    at = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
+
+    def between(rank):
+        low, high = (F.element_at("_at", f(rank).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (rank - F.floor(rank))
+
+    return asked.join(at, list(keys)).select(*keys, *[between(F.col(n)).alias(n) for n in shares])
 
 
 def winsorise(df: DataFrame, columns: Sequence[str] = ("tmax", "tmin", "tavg"), key: str = "region_id",
               shares: tuple[float, float] = OUTLIER_RANGE) -> DataFrame:
-    """Clip each column to its per-series percentiles."""
+    """Clip each column to its per-series percentiles.
+
+    A daily series is at most as long as the calendar, so the percentiles are taken over the
+    window that the other steps use, without another shuffle.
+    """
     whole = Window.partitionBy(key)
     bounds = {c: F.percentile(c, F.array(*[F.lit(s) for s in shares])).over(whole) for c in columns}
     return df.withColumns({f"_b_{c}": b for c, b in bounds.items()}).withColumns(

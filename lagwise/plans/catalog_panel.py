@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagwise.functions import expressions as ex
-from lagwise.operators import align, needs, quality, weather
+from lagwise.operators import align, needs, quality, summary, weather
 from lagwise.operators import features as fx
 from lagwise.operators import windows as win
 from lagwise.plans import bindings as b
@@ -240,8 +240,7 @@ FROM events GROUP BY event_type
 """)
 def a8(spark, sf):
     shares = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}
-    out = weather.group_percentiles(
-        table(spark, sf, "events"), ["event_type"], {n: ("value", s) for n, s in shares.items()})
+    out = weather.group_percentiles(table(spark, sf, "events"), ["event_type"], "value", shares)
     return out.select("event_type", *[ex.round_stable(F.col(n), 6).alias(n) for n in shares])
 
 
@@ -347,9 +346,7 @@ SELECT m.experiment_id, COUNT(*) AS split_count FROM metrics m JOIN experiments
 WHERE e.model_type LIKE 'rolling_%' GROUP BY m.experiment_id
 """, "metrics", "experiments"))
 def j7(spark, sf):
-    rolling = b.experiments(spark, sf).filter(F.col("model_type").like("rolling_%"))
-    return b.metrics(spark, sf).join(rolling, "experiment_id").groupBy("experiment_id").agg(
-        F.count(F.lit(1)).alias("split_count"))
+    return summary.splits_per_experiment(b.metrics(spark, sf), b.experiments(spark, sf), "rolling_%")
 
 
 @query("u1_shared_dates", with_inputs(

@@ -60,7 +60,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
 
 def insert_new(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The rows to append: the first per key among those whose key is not stored yet."""
-    return keep_one(new.join(base.select(*keys), list(keys), "left_anti"), keys, order)
+    return keep_one(new, keys, order).join(base.select(*keys), list(keys), "left_anti")
 
 
 def insert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], order: Sequence) -> None:

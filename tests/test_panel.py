@@ -221,3 +221,23 @@ def test_tolerant_numbers(spark):
         ex.tolerant_int(F.col("t")).alias("i"), ex.tolerant_double(F.col("t")).alias("d")).collect()
     assert [r["i"] for r in got] == [12, 7, -3, None, None, None, 1000, None, None, None, None]
     assert [r["d"] for r in got][:4] == [12.7, 7.0, -3.9, None]
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "constant", "tiny", "hot"])
+def test_group_percentiles_equal_numpy(spark, kind):
+    rng = np.random.default_rng(4)
+    data = {
+        "spread": {"a": rng.normal(size=3000), "b": rng.exponential(size=501)},
+        "ties": {"a": rng.integers(0, 3, 999), "b": rng.integers(0, 50, 80)},
+        "constant": {"a": np.full(50, 2.0)},
+        "tiny": {"a": np.array([1.0]), "b": np.array([1.0, 2.0]), "c": np.array([3.0, 1.0, 2.0])},
+        "hot": {"a": np.concatenate([np.full(5000, 1.0), rng.normal(1, 1e-6, 400)]), "b": rng.normal(size=10)},
+    }[kind]
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None)]
+    shares = {"p0": 0.0, "p01": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = weather.group_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares)
+    got = {r["k"]: r for r in got.collect()}
+    assert set(got) == set(data)
+    for k, vs in data.items():
+        for name, share in shares.items():
+            assert got[k][name] == pytest.approx(np.quantile(np.asarray(vs, float), share), abs=1e-12)
