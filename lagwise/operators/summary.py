@@ -78,16 +78,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -
     Each row is laid out as its column pairs, which partial aggregation folds again before the
     shuffle; one aggregate over all pairs at once would outgrow generated code.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    values = [F.col(c).cast("double") for c in columns]
     laid_out = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs
+        F.struct(F.lit(k).alias("pair"), values[i].alias("x"), values[j].alias("y")) for k, (i, j) in enumerate(pairs)
     ]
-    found = df.select(F.inline(F.array(*laid_out))).groupBy("a", "b").agg(
+    found = df.select(F.inline(F.array(*laid_out))).groupBy("pair").agg(
         round_stable(correlation("x", "y"), digits).alias("r"))
-    both = found.select(F.inline(F.array(
-        F.struct(F.col("a").alias("feature"), F.col("b").alias("other"), "r"),
-        F.struct(F.col("b").alias("feature"), F.col("a").alias("other"), "r"),
+    names = F.array(*[F.array(F.lit(columns[i]), F.lit(columns[j])) for i, j in pairs])
+    named = found.select(names[F.col("pair")].alias("names"), "r")
+    both = named.select(F.inline(F.array(
+        F.struct(F.col("names")[0].alias("feature"), F.col("names")[1].alias("other"), "r"),
+        F.struct(F.col("names")[1].alias("feature"), F.col("names")[0].alias("other"), "r"),
     )))
     return both.groupBy("feature").pivot("other", list(columns)).agg(F.max("r"))
 

@@ -387,7 +387,7 @@ def o3(spark, sf):
 
 def _tested_panel(spark, sf):
     wx = b.weather_daily(spark, sf)
-    return with_current_weather(pipelines.build_features(wx, b.needs_daily(spark, sf)), wx)
+    return cut_lineage(with_current_weather(pipelines.build_features(wx, b.needs_daily(spark, sf)), wx))
 
 
 _TESTED = """

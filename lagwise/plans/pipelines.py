@@ -58,8 +58,12 @@ def build_features(weather: DataFrame, needs: DataFrame, calendar: bool = False,
 
 def causal_report(features: DataFrame, weather: DataFrame, max_lag: int = causality.MAX_LAG,
                   significance: float = causality.SIGNIFICANCE) -> DataFrame:
-    """Granger tests of the day's weather on the target, per series."""
-    return causality.granger_tests(with_current_weather(features, weather), max_lag=max_lag, significance=significance)
+    """Granger tests of the day's weather on the target, per series.
+
+    The tested panel is read twice, for the unit-root tests and for the lags, so it is checkpointed.
+    """
+    panel = cut_lineage(with_current_weather(features, weather))
+    return causality.granger_tests(panel, max_lag=max_lag, significance=significance)
 
 
 def selected_features(results: DataFrame) -> list[str]:
