@@ -522,7 +522,7 @@ SELECT date, region_id, need_type, target_count::DOUBLE AS actual,
        {stable('greatest(a + s * target_lag_7, 0)', 6)} AS predicted, n AS n_train
 FROM feature_matrix, (SELECT regr_intercept(target_count, target_lag_7) AS a, regr_slope(target_count, target_lag_7) AS s,
         COUNT(*) AS n FROM feature_matrix WHERE date < (SELECT MAX(date) - 30 FROM feature_matrix))
-WHERE date >= (SELECT MAX(date) - 30 FROM feature_matrix)
+WHERE date >= (SELECT MAX(date) - 30 FROM feature_matrix) AND n >= 10
 """, "feature_matrix"))
 def m2_single(spark, sf):
     found = models.baseline(*models.holdout(b.stored_features(spark, sf)), columns=["target_lag_7"])
@@ -556,8 +556,8 @@ FROM (SELECT fit.season AS train_season, f.season AS test_season, fit.n,
         SELECT season, COUNT(*) AS n, AVG(target_count) AS my, AVG(tmax_lag_1) AS mx,
                regr_sxy(target_count, tmax_lag_1) / (regr_sxx(target_count, tmax_lag_1) + 1) AS s
         FROM feature_matrix GROUP BY season) fit
-      ON (fit.season = 'winter' AND f.season = 'spring') OR (fit.season = 'spring' AND f.season = 'summer'))
-GROUP BY ALL
+      ON ((fit.season = 'winter' AND f.season = 'spring') OR (fit.season = 'spring' AND f.season = 'summer')) AND fit.n >= 10)
+GROUP BY ALL HAVING COUNT(*) >= 5
 """, "feature_matrix"))
 def m5_single(spark, sf):
     return models.seasonal_drift(b.stored_features(spark, sf), ["tmax_lag_1"])
