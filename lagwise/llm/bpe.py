@@ -18,22 +18,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import pickle
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwise.llm.chunks import chunks, pack, unpack
 from lagwise.llm.common import bounded_batches, documents
 
-CHUNK_CHARS = 4_000_000
 BLOCK_CHARS = 500_000
 MOST_BUCKETS = 2048
 CACHED_WORDS = 400_000
@@ -156,29 +153,6 @@ def sequence(texts: list[str], buckets: int) -> tuple[list[bytes], np.ndarray, n
     return [words[i] for i in order], edges, flow, np.concatenate(counts) if counts else np.empty(0, np.int64)
 
 
-def _pack(*values) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(values, protocol=5))
-
-
-def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(blob)))
-
-
-def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, list, list[str]]]:
-    """Chunks of a partition: name, ids, texts."""
-    part, serial, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist()):
-            ids.append(key)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= CHUNK_CHARS or len(texts) >= 50_000:
-                yield f"{part}.{serial}", ids, texts
-                serial, ids, texts, size = serial + 1, [], [], 0
-    if texts:
-        yield f"{part}.{serial}", ids, texts
-
-
 def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, bytes]:
     return np.fromiter((len(w) for w in words), np.uint32, len(words)), b"".join(words)
 
@@ -201,18 +175,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, _, texts in _chunks(batches):
+        for name, _, texts in chunks(batches):
             words, edges, _, _ = sequence(texts, count)
             full = [b for b in range(count) if edges[b] < edges[b + 1]]
             yield pd.DataFrame({
                 "chunk": name, "bucket": np.array(full, np.int32), "start": edges[full],
-                "words": [_pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full],
+                "words": [pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full],
             })
 
     def flow_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, ids, texts in _chunks(batches):
+        for name, ids, texts in chunks(batches):
             words, _, flow, per_text = sequence(texts, count)
-            yield pd.DataFrame({"chunk": [name], "flow": [_pack(pd.Series(ids, dtype=object), flow, per_text.astype(np.uint32), len(words))]})
+            yield pd.DataFrame({"chunk": [name], "flow": [pack(pd.Series(ids, dtype=object), flow, per_text.astype(np.uint32), len(words))]})
 
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -222,7 +196,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
         for batch in batches:
             out = []
             for blob in batch["words"]:
-                sizes, joined = _unpack(blob)
+                sizes, joined = unpack(blob)
                 ids: list[int] = []
                 lengths, at = np.empty(len(sizes), np.uint32), 0
                 for i, n in enumerate(sizes.tolist()):
@@ -233,14 +207,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
                         got = known[word] = merger.encode_ordinary(word.decode("utf-8", "surrogatepass"))
                     ids += got
                     lengths[i] = len(got)
-                out.append(_pack(lengths, np.array(ids, np.int32)))
+                out.append(pack(lengths, np.array(ids, np.int32)))
                 if len(known) > CACHED_WORDS:
                     known.clear()
             yield pd.DataFrame({"chunk": batch["chunk"], "start": batch["start"], "ids": out})
 
     def assemble(flows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names, flow, per_text, n_words = _unpack(flows["flow"].iloc[0])
-        parts = [(int(s), *_unpack(b)) for s, b in sorted(zip(found["start"], found["ids"]), key=lambda x: x[0])]
+        names, flow, per_text, n_words = unpack(flows["flow"].iloc[0])
+        parts = [(int(s), *unpack(b)) for s, b in sorted(zip(found["start"], found["ids"]), key=lambda x: x[0])]
         lengths = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
         ids = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int32)
         if len(lengths) != n_words:

@@ -9,8 +9,11 @@ from lagwise.llm.mixing import OP3_SQL, op3_mixing
 from lagwise.llm.quality import op2_quality_classifier
 from lagwise.llm.rules import op10_quality_rules
 from lagwise.llm.sharding import op9_sharding
+from lagwise.llm.simhash import op8_simhash_dedup
+from lagwise.llm.substring import op5_substring_dedup
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality_classifier, op3_mixing, op4_byte_bpe, op7_exact_dedup, op9_sharding, op10_quality_rules,
+    op1_language_id, op2_quality_classifier, op3_mixing, op4_byte_bpe, op5_substring_dedup,
+    op7_exact_dedup, op8_simhash_dedup, op9_sharding, op10_quality_rules,
 )}
 ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL}

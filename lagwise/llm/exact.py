@@ -44,7 +44,7 @@ def frequent(digests: DataFrame, capacity: int = CAPACITY) -> list[str]:
     return [r["d"] for r in parts.orderBy(F.desc("n"), "d").limit(capacity).collect()]
 
 
-def _first_of_ties(rows: DataFrame, digest: str, mark: str) -> DataFrame:
+def first_of_ties(rows: DataFrame, digest: str, mark: str) -> DataFrame:
     """Marks one row per digest in two steps, so that no window grows beyond one map partition's rows."""
     part, local = f"{mark}_p", f"{mark}_n"
     within = Window.partitionBy(digest, part).orderBy(F.lit(0))
@@ -71,7 +71,7 @@ def groups(docs: DataFrame, into: str, capacity: int = CAPACITY) -> DataFrame:
     out = lambda keep, size, kept: F.struct(F.col("d").alias("digest"), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"))
     alone = out(F.col("won.keep_id"), F.col("won.group_size"), best)
     heavy_rows = split.filter(F.col("won").isNotNull() & ~(best & (F.col("won.ties") > 1))).select("row", alone.alias(into))
-    tied = _first_of_ties(split.filter(F.col("won").isNotNull() & best & (F.col("won.ties") > 1)), "d", "first")
+    tied = first_of_ties(split.filter(F.col("won").isNotNull() & best & (F.col("won.ties") > 1)), "d", "first")
     tied = tied.select("row", out(F.col("won.keep_id"), F.col("won.group_size"), F.col("first")).alias(into))
 
     same = Window.partitionBy("d")
