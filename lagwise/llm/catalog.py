@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lagwise.llm.bpe import op4_byte_bpe
 from lagwise.llm.exact import OP7_SQL, op7_exact_dedup
 from lagwise.llm.language import op1_language_id
@@ -11,9 +12,13 @@ from lagwise.llm.rules import op10_quality_rules
 from lagwise.llm.sharding import op9_sharding
 from lagwise.llm.simhash import op8_simhash_dedup
 from lagwise.llm.substring import op5_substring_dedup
+from lagwise.llm.toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_mixing, op4_byte_bpe, op5_substring_dedup,
-    op7_exact_dedup, op8_simhash_dedup, op9_sharding, op10_quality_rules,
+    op6_toxicity, op7_exact_dedup, op8_simhash_dedup, op9_sharding, op10_quality_rules,
 )}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lagwise.llm.common import bounded_batches, class_table, code_points, documents, held_out, labels, words
 from lagwise.session import cut_lineage
@@ -69,7 +70,7 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _statistics(texts: pd.Series) -> pd.Series:
     return pd.Series([statistics(t) for t in texts], dtype=object)
 

@@ -1,12 +1,12 @@
 """Quality rules by weak supervision.
 
 Rules look at a text and vote good, bad or abstain. The votes of all documents are counted per vote pattern (at
-most 3^9 patterns, however many rows), and expectation-maximisation on the counts estimates each rule's accuracy
-on good and on bad documents. A document is kept when its posterior probability of being good reaches `KEEP` and
+most 3^9 patterns, however many rows), and expectation-maximisation on the counts estimates each rule's accuracy,
+from how often it votes on good and on bad documents. A document is kept when its posterior probability of being good reaches `KEEP` and
 the base rule does not reject it.
 
-Priors keep the roles of the classes: a rule is taken to be right more often than not. A document against which no
-rule votes is therefore always kept.
+A rule is never taken to be wrong more often than right, which keeps the roles of the classes, and a document against
+which no rule votes is always kept.
 
 Defined cases: a null text is an empty one; it fails the base rule. Ties at `KEEP` are kept. An empty table gives an
 empty result. Repeated rows get the same verdict.
@@ -14,11 +14,14 @@ empty result. Repeated rows get the same verdict.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lagwise.llm.common import bounded_batches, class_table, code_points, documents, free_name, words
 from lagwise.session import cut_lineage
@@ -28,23 +31,26 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of the words
 KEEP = 0.5
-#: name, value below which (or above which) a rule votes bad, value from which on it votes good. Between, it abstains.
-#: Where good < bad, large values are bad.
+BAD, ABSTAIN, GOOD = 0, 1, 2
+#: Name, vote, and the measure's bound: a rule votes when the measure lies beyond it (above for "over"), else it abstains.
+#: That a defect is absent is no vote for a document; only the last two rules speak for one.
 RULES = [
-    ("repeat_share", 0.20, 0.08),
-    ("symbol_share", 0.10, 0.03),
-    ("same_line_share", 0.30, 0.10),
-    ("upper_share", 0.50, 0.20),
-    ("bang_share", 0.30, 0.08),
-    ("top_word_share", 0.30, 0.20),
-    ("letter_share", 0.60, 0.80),
-    ("word_length", 2.0, 3.0),
-    ("n_words", 10, 30),
+    ("repeats", BAD, "repeat_share", "over", 0.20),
+    ("symbols", BAD, "symbol_share", "over", 0.10),
+    ("same_lines", BAD, "same_line_share", "over", 0.30),
+    ("capitals", BAD, "upper_share", "over", 0.50),
+    ("bangs", BAD, "bang_share", "over", 0.30),
+    ("one_word", BAD, "top_word_share", "over", 0.30),
+    ("few_letters", BAD, "letter_share", "under", 0.60),
+    ("plain_words", GOOD, "plain_share", "over", 0.80),
+    ("enough_words", GOOD, "n_words", "over", 29),
 ]
-ACCURACY_PRIOR = (12.0, 3.0)  # pseudo-counts of right and wrong votes
 CLASS_PRIOR = (8.0, 2.0)  # pseudo-counts of good and bad documents
+VOTE_PRIOR = {BAD: ((1.0, 40.0), (1.0, 3.0)), GOOD: ((4.0, 1.0), (1.0, 1.0))}  # of voting and abstaining on good, on bad
 ROUNDS = 200
-BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, pattern int"
+PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?]?")
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MEASURED = StructType([*[StructField(c, LongType()) for c in COUNTS], StructField("pattern", IntegerType())])
 
 
 def repeated_words(tokens: list[bytes], window: int = WINDOW) -> int:
@@ -82,28 +88,22 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     for w in tokens:
         counts[w] = counts.get(w, 0) + 1
     value = {
-        "n_words": n, "word_length": word_chars / max(1, n), "symbol_share": n_symbols / max(1, n),
-        "same_line_share": n_dup_lines / max(1, len(lines)), "repeat_share": n_repeat / max(1, n),
-        "upper_share": int(class_table("isupper")[codes].sum()) / max(1, letters), "bang_share": text.count("!") / max(1, n),
-        "top_word_share": max(counts.values(), default=0) / max(1, n) if n >= 30 else None, "letter_share": letters / max(1, word_chars),
+        "n_words": n, "symbol_share": n_symbols / max(1, n), "same_line_share": n_dup_lines / max(1, len(lines)),
+        "repeat_share": n_repeat / max(1, n), "upper_share": int(class_table("isupper")[codes].sum()) / max(1, letters),
+        "bang_share": text.count("!") / max(1, n), "top_word_share": max(counts.values(), default=0) / max(1, n) if n >= 30 else 0,
+        "letter_share": letters / max(1, word_chars),
+        "plain_share": sum(c for w, c in counts.items() if PLAIN.fullmatch(w.decode("utf-8", "surrogatepass"))) / max(1, n),
     }
     pattern = 0
-    for name, bad, good in RULES:
-        x = value[name]
-        if x is None:
-            vote = 1
-        elif good < bad:
-            vote = 0 if x > bad else 2 if x <= good else 1
-        else:
-            vote = 0 if x < bad else 2 if x >= good else 1
-        pattern = pattern * 3 + vote
+    for _, vote, measure_, side, bound in RULES:
+        beyond = value[measure_] > bound if side == "over" else value[measure_] < bound
+        pattern = pattern * 3 + (vote if beyond else ABSTAIN)
     return n, word_chars, n_symbols, n_dup_lines, n_repeat, pattern
 
 
-@pandas_udf(BASE)
+@pandas_udf(MEASURED)
 def _measure(texts: pd.Series) -> pd.DataFrame:
-    names = [part.split()[0] for part in BASE.split(", ")]
-    return pd.DataFrame([measure(t) for t in texts], columns=names)
+    return pd.DataFrame([measure(t) for t in texts], columns=[*COUNTS, "pattern"])
 
 
 def votes(patterns: np.ndarray) -> np.ndarray:
@@ -112,34 +112,39 @@ def votes(patterns: np.ndarray) -> np.ndarray:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> dict:
-    """Expectation-maximisation over pattern counts: prior, accuracies on good and on bad documents."""
-    v = votes(patterns)
-    good, bad = (v == 2).astype(float), (v == 0).astype(float)
-    right, wrong = ACCURACY_PRIOR
-    # Thresholds for bad votes are far from ordinary text, so one such vote is the first guess of a bad document.
-    p = np.array([0.98, 0.2, 0.05])[np.minimum(bad.sum(1), 2).astype(int)]
+    """Expectation-maximisation over pattern counts: class prior and how often each rule votes on good and on bad documents.
+
+    A rule's accuracy is the share of its votes that fall on documents of the class it names; it is never taken to be below chance.
+    """
+    voted = (votes(patterns) != ABSTAIN).astype(float)
+    says_bad = np.array([vote == BAD for _, vote, *_ in RULES])
+    on, off = (np.array([VOTE_PRIOR[vote][k] for _, vote, *_ in RULES]) for k in (0, 1))
+    # Bounds of bad votes are far from ordinary text, so one such vote is the first guess of a bad document.
+    p = np.array([0.98, 0.1, 0.02])[np.minimum(voted[:, says_bad].sum(1), 2).astype(int)]
     for _ in range(ROUNDS):
         w1, w0 = counts * p, counts * (1 - p)
         prior = (w1.sum() + CLASS_PRIOR[0]) / (counts.sum() + sum(CLASS_PRIOR))
-        on_good = (w1 @ good + right) / (w1 @ (good + bad) + right + wrong)
-        on_bad = (w0 @ bad + right) / (w0 @ (good + bad) + right + wrong)
-        # A rule that says good says it at least as often on good documents, and the same for bad.
-        on_bad = np.maximum(on_bad, 1 - on_good)
-        model = {"prior": prior, "on_good": on_good, "on_bad": on_bad}
+        good = (w1 @ voted + on[:, 0]) / (w1.sum() + on.sum(1))
+        bad = (w0 @ voted + off[:, 0]) / (w0.sum() + off.sum(1))
+        chance = prior * good + (1 - prior) * bad
+        wrong = np.where(says_bad, bad < good, good < bad)
+        model = {"prior": prior, "good": np.where(wrong, chance, good), "bad": np.where(wrong, chance, bad)}
         new = posterior(patterns, model)
         if np.abs(new - p).max(initial=0) < 1e-9:
             break
         p = new
+    given = np.where(says_bad, (1 - prior) * model["bad"], prior * model["good"])
+    model["accuracy"] = given / (prior * model["good"] + (1 - prior) * model["bad"])
     return model
 
 
 def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
-    """Probability that a document with this pattern is good."""
+    """Probability that a document with this pattern is good; at least `KEEP` where no rule votes bad."""
     v = votes(patterns)
-    up = np.log(model["on_good"] / (1 - model["on_bad"]))
-    down = np.log((1 - model["on_good"]) / model["on_bad"])
-    odds = np.log(model["prior"] / (1 - model["prior"])) + (v == 2) @ up + (v == 0) @ down
-    return np.where((v == 0).any(1), 1 / (1 + np.exp(-np.clip(odds, -500, 500))), np.maximum(KEEP, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))))
+    vote, none = np.log(model["good"] / model["bad"]), np.log((1 - model["good"]) / (1 - model["bad"]))
+    odds = np.log(model["prior"] / (1 - model["prior"])) + np.where(v != ABSTAIN, vote, none).sum(1)
+    p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return np.where((v == BAD).any(1), p, np.maximum(KEEP, p))
 
 
 def pattern_posteriors(measured: DataFrame, pattern: Column) -> dict[int, float]:
