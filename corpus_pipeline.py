@@ -39,7 +39,7 @@ def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the mixed documents, encoded and decoded."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks), max(ranks.values()) + 1)
+    return bpe.decode(encoded, ranks, digests=True)
 
 
 STAGES = [

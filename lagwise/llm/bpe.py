@@ -33,7 +33,7 @@ from lagwise.llm.common import bounded_batches, documents
 
 BLOCK_CHARS = 500_000
 MOST_BUCKETS = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 # White space of Unicode, as the tokenizer's pattern understands it (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, SPACE, BREAK = 0, 1, 2, 3, 4
@@ -234,20 +234,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
     return flows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(assemble, f"doc_id {key}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Rows (doc_id, ids, decoded): the bytes behind the ids. An id outside the table is an error."""
+def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -> DataFrame:
+    """Rows (doc_id, ids, decoded): the bytes behind the ids. An id outside the table is an error.
+
+    With `digests`, ids and bytes are reduced where they lie, to (doc_id, n_tokens, ids_sha256, decoded_sha256).
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(sent.value)
+        decimals = np.array([b"%d " % i for i in range(len(table))])
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            keys, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids"))
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            texts = (b"".join(map(table.__getitem__, ids.tolist())) for ids in rows)
+            if not digests:
+                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+                continue
+            sums = [[hashlib.sha256(x).hexdigest() for x in part] for part in ((ids_text(ids, decimals) for ids in rows), texts)]
+            out = [keys, pa.array(np.diff(ends).astype(np.int64)), *[pa.array(s, pa.string()) for s in sums]]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kinds_ = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(join, f"{kinds_}, decoded binary")
+    key = encoded.schema["doc_id"].dataType.simpleString()
+    rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    return encoded.select("doc_id", "ids").mapInArrow(join, f"doc_id {key}, {rest}")
 
 
 def _table(ranks: dict[bytes, int]) -> list[bytes]:
@@ -262,27 +273,9 @@ def ids_text(ids: np.ndarray, decimals: np.ndarray) -> bytes:
     return decimals[ids].tobytes().translate(None, b"\0")[:-1]
 
 
-def digests(decoded: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        decimals = np.array([b"%d " % i for i in range(size)])
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = batch.column(batch.schema.get_field_index("decoded")).to_pylist()
-            out = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(ends).astype(np.int64)),
-                   pa.array([hashlib.sha256(ids_text(flat[a:b], decimals)).hexdigest() for a, b in zip(ends[:-1], ends[1:])]),
-                   pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    key = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return digests(decode(encoded, ranks), max(ranks.values()) + 1)
+    return decode(encoded, ranks, digests=True)

@@ -73,8 +73,8 @@ def place(counts: dict[int, int], shards: int, virtual: int = VIRTUAL, cells: in
     return pieces
 
 
-def shard(docs: DataFrame, into: str, shards: int = 16, virtual: int = VIRTUAL, cells: int = CELLS) -> DataFrame:
-    """`docs` with a column `into` of (shard, slot)."""
+def shard(docs: DataFrame, into: str, shards: int = 16, virtual: int = VIRTUAL, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
+    """`docs` (its columns `carry`, by default all) with a column `into` of (shard, slot)."""
     spark = docs.sparkSession
     position = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     cell = F.pmod(position, F.lit(cells)).cast("int")
@@ -84,7 +84,7 @@ def shard(docs: DataFrame, into: str, shards: int = 16, virtual: int = VIRTUAL,
         [(c, [(f, s, slot) for f, s, slot in p]) for c, p in pieces.items()],
         "at int, pieces array<struct<first: long, shard: int, slot: long>>",
     )
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), cell.alias("cell"), position.alias("position"), F.col("doc_id").alias("id"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), cell.alias("cell"), position.alias("position"), F.col("doc_id").alias("id"))
     order = Window.partitionBy("cell").orderBy("position", "id")
     numbered = held.withColumn("n", F.row_number().over(order) - 1)
     joined = numbered.join(F.broadcast(plan), F.col("cell") == F.col("at"))  # one row per cell, a fixed bound
@@ -102,9 +102,9 @@ def write(docs: DataFrame, path: str, shards: int = 16) -> None:
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    rows = shard(documents(spark, sf_dir).select("doc_id", "text"), "s")
     text = F.coalesce("text", F.lit(""))
-    return rows.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"), "s.shard", "s.slot", F.lit(None).cast("int").alias("grown_shard"),
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
+    rows = shard(docs, "s", carry=["doc_id", "size", "text_crc32"])
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "s.shard", "s.slot", F.lit(None).cast("int").alias("grown_shard"))
