@@ -178,10 +178,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
         for name, _, texts in chunks(batches):
             words, edges, _, _ = sequence(texts, count)
             full = [b for b in range(count) if edges[b] < edges[b + 1]]
-            yield pd.DataFrame({
-                "chunk": name, "bucket": np.array(full, np.int32), "start": edges[full],
-                "words": [pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full],
-            })
+            if full:
+                yield pd.DataFrame({
+                    "chunk": name, "bucket": np.array(full, np.int32), "start": edges[full],
+                    "words": [pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full],
+                })
 
     def flow_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in chunks(batches):

@@ -38,7 +38,8 @@ def frequent(digests: DataFrame, capacity: int = CAPACITY) -> list[str]:
             if len(counters) > capacity:  # lower all by the largest counter that must go
                 cut = sorted(counters.values(), reverse=True)[capacity]
                 counters = {d: n - cut for d, n in counters.items() if n > cut}
-        yield pd.DataFrame({"d": list(counters), "n": list(counters.values())})
+        if counters:
+            yield pd.DataFrame({"d": list(counters), "n": list(counters.values())})
 
     parts = digests.mapInPandas(count, "d string, n long").groupBy("d").agg(F.sum("n").alias("n"))
     return [r["d"] for r in parts.orderBy(F.desc("n"), "d").limit(capacity).collect()]

@@ -182,7 +182,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def half_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in chunks(batches):
-            yield _sent(name, *Chunk(ids, texts, length).anchors(), buckets)
+            sent = _sent(name, *Chunk(ids, texts, length).anchors(), buckets)
+            if len(sent):
+                yield sent
 
     def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in chunks(batches):

@@ -100,7 +100,8 @@ def restore(token: str, model: np.ndarray) -> str:
             options.append((c, 0.0))
         for letter in LOOKS.get(c, ""):
             options.append((letter, COST["any"] if c == "*" else COST["sign"]))
-        drop = COST["drop"] if not c.isalnum() else COST["keep"] if not c.isalpha() else None
+        # Signs may stand for nothing; digits that look like a letter may not.
+        drop = COST["drop"] if not c.isalnum() else COST["keep"] if not options else None
         new: dict[tuple[int, int, str], tuple[float, str]] = {}
 
         def offer(key, value, text):
