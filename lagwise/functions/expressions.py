@@ -51,9 +51,19 @@ def tolerant_int(c: Column) -> Column:
     return tolerant_double(c).try_cast("int")
 
 
+# Date texts of feeds, tried in this order after ISO. Month comes before day.
+DATE_FORMATS = [
+    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "M-d-yyyy", "yyyy/M/d",
+    "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+]
+
+
 def text_to_date(c: Column) -> Column:
-    """ISO date or datetime text to a date; NULL when unreadable."""
-    return F.to_date(F.try_to_timestamp(strip(c)))
+    """Date or datetime text, ISO or in one of `DATE_FORMATS`, to a date; NULL when unreadable."""
+    text = strip(c)
+    # ISO text needs dashes after the year; eight digits alone are no year.
+    iso = F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text))
+    return F.to_date(F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
 
 
 # First month of each season.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import complete, round_stable
-from lagwise.operators.gram import gather_moments, least_squares, linear_prediction, moment_sums
+from lagwise.operators.gram import column_shift, gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.operators.models import (
     MIN_TRAIN, TARGET, TREES, available, prediction_rows, weather_model,
 )
@@ -99,13 +99,14 @@ def rolling_linear(df: DataFrame, columns: Sequence[str] = tuple(BASELINE_FEATUR
     """
     columns = available(df, columns)
     bucketed = _bucketed(df, min_train_days, test_days)
-    sums = moment_sums(bucketed, ["split_index"], [TARGET, *columns])
+    shift = column_shift(df, [TARGET, *columns])
+    sums = moment_sums(bucketed, ["split_index"], [TARGET, *columns], shift)
     earlier = Window.partitionBy("pos").orderBy("split_index").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("value", F.sum("value").over(earlier)).filter("split_index >= 0 AND value IS NOT NULL")
     splits = temporal_splits(df, min_train_days, test_days).select("split_index")
     gathered = gather_moments(before, ["split_index"]).join(splits, "split_index")
     fits = gathered.select(
-        "split_index", least_squares(F.col("moments"), alpha).alias("coefficients"),
+        "split_index", least_squares(F.col("moments"), alpha, shift).alias("coefficients"),
         F.col("moments")[0].alias("n_train"),
     ).filter(F.col("n_train") >= MIN_TRAIN)
     scored = bucketed.filter("_open").filter(complete([*columns, TARGET])).join(F.broadcast(fits), "split_index")

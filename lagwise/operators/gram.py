@@ -18,9 +18,6 @@ from pyspark.sql.functions import pandas_udf
 from lagwise.functions.expressions import complete
 from lagwise.functions.statistics import ridge_solve
 
-# Up to this many products the sums stay in the query plan; beyond it the generated code
-# becomes slow and the products are formed on Arrow batches.
-MAX_PLAN_PRODUCTS = 45
 MAX_OPEN_GROUPS = 512
 
 
@@ -29,18 +26,24 @@ def positions(width: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
 
 
-def moment_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Rows (keys, pos, value): sums of products of (1, columns) over complete rows."""
+def moment_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], shift: Sequence[float] | None = None) -> DataFrame:
+    """Rows (keys, pos, value): sums of products of (1, columns less `shift`) over complete rows, NULL keys included.
+
+    The products are formed on Arrow batches, whatever the number of columns.
+    """
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).filter(complete(columns))
-    where = positions(len(columns))
-    if len(where) <= MAX_PLAN_PRODUCTS:
-        terms = [F.lit(1.0), *[F.col(c) for c in columns]]
-        sums = rows.groupBy(*keys).agg(*[F.sum(terms[i] * terms[j]).alias(f"_{k}") for k, (i, j) in enumerate(where)])
-        pairs = [F.struct(F.lit(k).alias("pos"), F.col(f"_{k}").alias("value")) for k in range(len(where))]
-        return sums.select(*keys, F.inline(F.array(*pairs)))
+    if shift is not None:
+        rows = rows.select(*keys, *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(columns, shift)])
     return _batch_sums(rows, keys, columns).groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
 
 
+def column_shift(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """About the mean of each column. Products of shifted columns keep their digits when means are large; any
+    shift near the mean gives the same fit, so it is cut to single precision, which hides the order of additions."""
+    means = df.filter(complete(columns)).agg(*[F.avg(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return [0.0 if m is None or not np.isfinite(m) else float(np.float32(m)) for m in means]
+
+
 def _batch_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     key_names, column_names = list(keys), list(columns)
     upper = np.triu_indices(len(column_names) + 1)
@@ -49,13 +52,13 @@ def _batch_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
         for key, sums in open_groups.items():
             out = pd.DataFrame({"pos": np.arange(len(sums), dtype=np.int32), "value": sums})
             for name, value in zip(key_names, key):
-                out.insert(0, name, value)
+                out.insert(0, name, pd.Series([None if pd.isna(value) else value] * len(sums), dtype=object))
             yield out[[*key_names, "pos", "value"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict = {}
         for batch in batches:
-            for key, rows in batch.groupby(key_names, sort=False):
+            for key, rows in batch.groupby(key_names, sort=False, dropna=False):
                 x = np.column_stack([np.ones(len(rows)), rows[column_names].to_numpy()])
                 sums = (x.T @ x)[upper]
                 groups[key] = groups[key] + sums if key in groups else sums
@@ -74,8 +77,11 @@ def gather_moments(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(packed, lambda s: s["value"]).alias("moments"))
 
 
-def least_squares(moments: Column, alpha: float = 0.0) -> Column:
-    """Intercept and coefficients of the second column on the later ones; NULL when there are no rows."""
+def least_squares(moments: Column, alpha: float = 0.0, shift: Sequence[float] | None = None) -> Column:
+    """Intercept and coefficients of the second column on the later ones; NULL when there are no rows.
+
+    With `shift`, the moments are of shifted columns and the intercept is moved back.
+    """
 
     @pandas_udf("array<double>")
     def solve(rows: pd.Series) -> pd.Series:
@@ -85,7 +91,10 @@ def least_squares(moments: Column, alpha: float = 0.0) -> Column:
             full = np.zeros((size, size))
             full[np.triu_indices(size)] = flat
             full = full + np.triu(full, 1).T
-            out.append(ridge_solve(full, alpha))
+            found = ridge_solve(full, alpha)
+            if found is not None and shift is not None:
+                found[0] += shift[0] - float(np.dot(found[1:], shift[1:]))
+            out.append(found)
         return pd.Series(out)
 
     return solve(moments)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import complete, round_half_even, round_stable
-from lagwise.operators.gram import gather_moments, least_squares, linear_prediction, moment_sums
+from lagwise.operators.gram import column_shift, gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, BASELINE_FEATURES, EVENT_FLAGS
 
 TARGET = "target_count"
@@ -42,9 +42,10 @@ def fit_linear(train: DataFrame, columns: Sequence[str], alpha: float = 0.0, key
     """One row (keys, coefficients, n_train) per group, from sums of products."""
     if not keys:
         train, keys = train.withColumn("_all", F.lit(0)), ["_all"]
-    gathered = gather_moments(moment_sums(train, keys, [TARGET, *columns]), keys)
+    shift = column_shift(train, [TARGET, *columns])
+    gathered = gather_moments(moment_sums(train, keys, [TARGET, *columns], shift), keys)
     return gathered.select(
-        *keys, least_squares(F.col("moments"), alpha).alias("coefficients"),
+        *keys, least_squares(F.col("moments"), alpha, shift).alias("coefficients"),
         F.col("moments")[0].cast("long").alias("n_train"),
     )
 
@@ -94,8 +95,9 @@ def weather_model(train: DataFrame, test: DataFrame, weather_features: Sequence[
     so equal inputs give equal trees.
     """
     columns = available(train, list(dict.fromkeys([*BASE_FEATURES, *weather_features])))
-    n_train = train.filter(complete([*columns, TARGET])).count()
-    n_test = test.filter(complete([*columns, TARGET])).limit(MIN_TEST).count()
+    whole = complete([*columns, TARGET])
+    sides = train.filter(whole).select(F.lit(True).alias("t")).unionByName(test.filter(whole).select(F.lit(False).alias("t")))
+    n_train, n_test = sides.agg(F.count_if("t"), F.count_if(~F.col("t"))).first()
     if n_train < MIN_TRAIN or n_test < MIN_TEST:
         return None, None
     fitted = fit_trees(train, columns, settings)

@@ -71,8 +71,11 @@ def missing_report(df: DataFrame, columns: Sequence[str] = tuple(WEATHER_VALUES)
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+ROWS_PER_BUCKET = 500_000
+
+
 def group_percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float],
-                      approximate: bool = False, buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """Percentiles with linear interpolation per group, one column per entry of `shares`.
 
     Exact for groups of any size. Approximate percentiles cut a group into buckets of about
@@ -80,11 +83,12 @@ def group_percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: d
     those are put in order. No task sees more than one bucket of a group, and equal values
     are counted before they are ordered.
     """
-    if approximate:
-        return df.groupBy(*keys).agg(*[F.percentile_approx(column, s, 10000).alias(n) for n, s in shares.items()])
     values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    if buckets is None:  # as many as keep a bucket of the largest group near ROWS_PER_BUCKET rows
+        largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(2, -(-largest // ROWS_PER_BUCKET))
     edges = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10000).alias("_edges"),
+        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets)).alias("_edges"),
         F.count(F.lit(1)).alias("_n"),
     )
     counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))

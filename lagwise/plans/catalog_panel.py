@@ -81,12 +81,15 @@ def s9(spark, sf):
     return base.unionByName(tables.insert_new(base, new, ["key"], [F.col("seq")]))
 
 
-@query("s13_row_counts", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}"
-    for t in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events")))
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
+@query("s13_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in _TABLES))
 def s13(spark, sf):
-    names = ("orders", "lineitem", "customer", "supplier", "part", "nation", "region", "events")
-    return tables.row_counts({t: table(spark, sf, t) for t in names})
+    return tables.row_counts({t: table(spark, sf, t) for t in _TABLES})
 
 
 # --- needs ------------------------------------------------------------------------------

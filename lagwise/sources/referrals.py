@@ -71,16 +71,15 @@ def zip_to_state(lookup: DataFrame) -> DataFrame:
 def add_region(df: DataFrame, lookup: DataFrame | None) -> DataFrame:
     """Region is the state, else the state of the zip code, else NULL.
 
-    Only rows without a state need the lookup. The others get keys that match nothing and
-    spread evenly, so they gather neither at NULL nor at a common zip code. Whether the lookup
-    is small enough to broadcast is left to Spark to judge.
+    Rows with a state are not shuffled. Of the others only those with a zip code are joined; whether
+    the lookup is small enough to broadcast is left to Spark to judge.
     """
     if lookup is None:
         return df.withColumn("region_id", F.col("state"))
-    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64("ref_id", "need_id", "zipcode"), F.lit(4096)).cast("string"))
-    wanted = df.withColumn("_zip", F.when(F.col("state").isNull(), F.coalesce("zipcode", spread)).otherwise(spread))
-    joined = wanted.join(zip_to_state(lookup).withColumnRenamed("zipcode", "_zip"), "_zip", "left")
-    return joined.withColumn("region_id", F.coalesce("state", "zip_state")).drop("_zip", "zip_state")
+    wanted = F.col("state").isNull() & F.col("zipcode").isNotNull()
+    plain = df.filter(~wanted).withColumn("region_id", F.col("state"))
+    joined = df.filter(wanted).join(zip_to_state(lookup), "zipcode", "left")
+    return plain.unionByName(joined.withColumn("region_id", F.col("zip_state")).drop("zip_state"))
 
 
 def parse_referrals(raw: DataFrame, lookup: DataFrame | None = None) -> DataFrame:

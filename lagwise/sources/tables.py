@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,22 +43,35 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[
     """Merge new rows into a stored table, last row per key wins.
 
     The result is checkpointed before the table it was read from is overwritten. With
-    partition columns only the partitions that receive rows are read and rewritten.
+    partition columns only the partitions that receive rows are read and rewritten, unless a key
+    moves to another partition: then the whole table is, so that its old row goes.
     """
     base = scan_if_present(spark, path)
     if base is None:
         replace_table(keep_one(new, keys, [F.col(sequence).desc()]), path, partition_by)
         return
-    if partition_by:
+    some = bool(partition_by) and not _moves(base, new, keys, partition_by)
+    if some:
         touched = new.select(*partition_by).distinct()
         base = base.join(touched, list(partition_by), "left_semi")
     merged = cut_lineage(merge_last(base, new.select(*base.columns), keys, sequence))
     writer = merged.write.mode("overwrite")
     if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic" if some else "static").partitionBy(*partition_by)
     writer.parquet(path)
 
 
+def _moves(base: DataFrame, new: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> bool:
+    """Whether a stored key comes in for another partition; impossible where the partition is part of the key."""
+    outside = [c for c in partition_by if c not in keys]
+    if not outside:
+        return False
+    incoming = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in outside]).distinct()
+    other = [~F.col(c).cast("string").eqNullSafe(F.col(f"_new_{c}").cast("string")) for c in outside]
+    pairs = base.select(*keys, *outside).join(incoming, list(keys))
+    return not pairs.filter(reduce(lambda a, b: a | b, other)).isEmpty()
+
+
 def insert_new(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The rows to append: the first per key among those whose key is not stored yet."""
     return keep_one(new, keys, order).join(base.select(*keys), list(keys), "left_anti")
@@ -105,7 +119,7 @@ def export_features(df: DataFrame, path: str) -> None:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    summary.repartition(1).write.mode("overwrite").json(path)
 
 
 def read_summary(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -158,18 +158,30 @@ def test_seasonal_drift_equals_numpy(spark):
         assert (got[before]["n_train"], got[before]["n_test"]) == (len(train), len(test))
 
 
-def test_wide_and_narrow_sums_agree(spark):
+@pytest.mark.parametrize("width", [2, 9])
+def test_sums_keep_null_keys(spark, width):
     from lagwise.operators import gram
 
-    df, _ = features(spark)
-    columns = ["target_count", "target_lag_7", "tmax_lag_1"]
-    narrow = gram.moment_sums(df, ["season"], columns)
-    wide = gram._batch_sums(df.select("season", *[F.col(c).cast("double").alias(c) for c in columns]), ["season"], columns)
-    wide = wide.groupBy("season", "pos").agg(F.sum("value").alias("value"))
-    a = {(r["season"], r["pos"]): r["value"] for r in narrow.collect()}
-    b = {(r["season"], r["pos"]): r["value"] for r in wide.collect()}
-    assert a.keys() == b.keys()
-    assert all(a[k] == pytest.approx(b[k]) for k in a)
+    columns = [f"c{i}" for i in range(width)]
+    rows = [("k" if i % 2 else None, *[float((i * (j + 3)) % 7) for j in range(width)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} double" for c in columns)).repartition(3)
+    got = {(r["key"], r["pos"]): r["value"] for r in gram.moment_sums(df, ["key"], columns).collect()}
+    for key in ("k", None):
+        x = np.array([[1.0, *r[1:]] for r in rows if r[0] == key])
+        want = (x.T @ x)[np.triu_indices(width + 1)]
+        assert [got[(key, p)] for p in range(len(want))] == pytest.approx(want.tolist())
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e4, 1e6, 1e8])
+def test_least_squares_keeps_digits(spark, mean):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=20_000)
+    y = 2 * x + rng.normal(size=20_000)
+    want = np.polyfit(x, y, 1)[0]
+    df = spark.createDataFrame(pd.DataFrame({models.TARGET: y + mean, "x": x + mean})).repartition(4)
+    found = models.fit_linear(df, ["x"]).first()["coefficients"]
+    assert found[1] == pytest.approx(want, abs=1e-6)
+    assert found[0] + found[1] * mean == pytest.approx(mean + np.polyfit(x, y, 1)[1], abs=1e-4)
 
 
 def test_positions_and_extreme_split(spark):

@@ -103,3 +103,12 @@ def test_partitioned_export_is_pruned(spark, tmp_path):
     one = spark.read.parquet(path).filter("region_id = 'CA'")
     assert one.count() == 10
     assert "PartitionFilters: [isnotnull(region_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upsert_moves_a_key_to_another_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda data: spark.createDataFrame(data, "k int, part string, v string, seq long")
+    tables.upsert_table(spark, path, rows([(1, "x", "old", 1), (2, "z", "old", 1)]), ["k"], "seq", ["part"])
+    tables.upsert_table(spark, path, rows([(1, "y", "new", 2)]), ["k"], "seq", ["part"])
+    stored = {(r["k"], r["part"], r["v"]) for r in spark.read.parquet(path).collect()}
+    assert stored == {(1, "y", "new"), (2, "z", "old")}
