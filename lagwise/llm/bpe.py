@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct words.
 
-Texts are packed into chunks of about 4 MB and cut into pre-tokens. A chunk keeps the sequence of its pre-tokens as
+Texts are packed into chunks of about 2 MB and cut into pre-tokens. A chunk keeps the sequence of its pre-tokens as
 positions in its own list of distinct words, and sends that list, split by word hash, to the places of the words. Every
 word is encoded once where it lands, for all chunks, and the ids return to the chunks, where they are put together
-by position. A word travels once per chunk, never once per occurrence, so frequent words make no hot task. Decoding
+by position. A word travels once per chunk, never once per occurrence, so frequent words make no hot task. A task holds
+the distinct words of its places, so the number of places is to grow with the vocabulary of the corpus. Decoding
 joins ids with the table of token bytes; it has one row per rank (50,256, a fixed bound), so that join is made where
 the ids lie.
 
 The vocabulary is read on the driver and sent to the tasks. Chunks are cut in scan order, which a retry repeats; the
-sequences are cut out a second time rather than stored, as that costs less disk than it saves time.
+sequences are cut out a second time rather than stored, as that costs less disk than it saves time. A chunk's name
+holds a digest of its ids and texts: an input that two scans order differently fails, and never mixes chunks.
 
-Defined cases: a null text is an empty one and has no ids. Repeated rows are encoded each. An empty table gives an
-empty result. Columns other than the id and the text are not carried.
+Defined cases: a null text is an empty one and has no ids. Repeated rows are encoded each. A text longer than a chunk is
+a chunk of its own, as long as it is. An empty table gives an empty result. Columns other than the id and the text are
+not carried.
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lagwise.llm.chunks import chunks, pack, unpack
+from lagwise.llm.chunks import pack, signed_chunks, unpack
 from lagwise.llm.common import bounded_batches, documents
 
 BLOCK_CHARS = 500_000
-MOST_BUCKETS = 2048
-CACHED_WORDS = 150_000
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+DIGEST_TYPES = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 # White space of Unicode, as the tokenizer's pattern understands it (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, SPACE, BREAK = 0, 1, 2, 3, 4
@@ -157,10 +160,12 @@ def _bytes_of(words: list[bytes]) -> tuple[np.ndarray, bytes]:
     return np.fromiter((len(w) for w in words), np.uint32, len(words)), b"".join(words)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """Rows (doc_id, ids): the token ids of every whole text.
 
-    `buckets` is the number of word places, by default that of shuffle partitions.
+    `buckets` is the number of word places, by default that of shuffle partitions; a task keeps the distinct words of
+    its places. With `digests`, ids are decoded and reduced where they are put together, to (doc_id, n_tokens,
+    ids_sha256, decoded_sha256): what `decode` gives, without a second Python worker beside the first.
     """
     import public_tokenizers
 
@@ -168,105 +173,122 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, buckets: int
         raise ValueError("pre-tokens are cut by the rules of public_tokenizers.PATTERN only")
     spark = docs.sparkSession
     bounded_batches(spark)
-    count = buckets or min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(ranks)
-    # Ids travel as text-free keys: any type of doc_id is kept as it is.
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = rows.schema["doc_id"].dataType.simpleString()
+    key, arrow_key = rows.schema["doc_id"].dataType.simpleString(), to_arrow_type(rows.schema["doc_id"].dataType)
 
-    def word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, _, texts in chunks(batches):
+    def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, texts in signed_chunks(batches):
             words, edges, _, _ = sequence(texts, count)
-            full = [b for b in range(count) if edges[b] < edges[b + 1]]
-            if full:
-                yield pd.DataFrame({
-                    "chunk": name, "bucket": np.array(full, np.int32), "start": edges[full],
-                    "words": [pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full],
-                })
-
-    def flow_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, ids, texts in chunks(batches):
+            full = np.flatnonzero(edges[:-1] < edges[1:])
+            if len(full):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(full)), pa.array(full.astype(np.int32)), pa.array(edges[full].astype(np.int64)),
+                    pa.array([pack(*_bytes_of(words[edges[b] : edges[b + 1]])) for b in full.tolist()], pa.binary()),
+                ], ["chunk", "bucket", "start", "words"])
+
+    def flow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, texts in signed_chunks(batches):
             words, _, flow, per_text = sequence(texts, count)
-            yield pd.DataFrame({"chunk": [name], "flow": [pack(pd.Series(ids, dtype=object), flow, per_text.astype(np.uint32), len(words))]})
+            blob = pack(ids, flow, per_text.astype(np.uint32), len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blob], pa.binary())], ["chunk", "flow"])
 
-    def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         merger = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
-            for blob in batch["words"]:
-                sizes, joined = unpack(blob)
-                ids: list[int] = []
-                lengths, at = np.empty(len(sizes), np.uint32), 0
-                for i, n in enumerate(sizes.tolist()):
+            for blob in batch.column(2):
+                sizes, joined = unpack(blob.as_py())
+                found, at = [], 0
+                for n in sizes.tolist():
                     word = joined[at : at + n]
                     at += n
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = merger.encode_ordinary(word.decode("utf-8", "surrogatepass"))
-                    ids += got
-                    lengths[i] = len(got)
-                out.append(pack(lengths, np.array(ids, np.int32)))
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-            yield pd.DataFrame({"chunk": batch["chunk"], "start": batch["start"], "ids": out})
-
-    def assemble(flows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names, flow, per_text, n_words = unpack(flows["flow"].iloc[0])
-        parts = [(int(s), *unpack(b)) for s, b in sorted(zip(found["start"], found["ids"]), key=lambda x: x[0])]
-        lengths = np.concatenate([p[1] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
-        ids = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int32)
+                        got = known[word] = np.array(merger.encode_ordinary(word.decode("utf-8", "surrogatepass")), np.int32).tobytes()
+                    found.append(got)
+                lengths = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                out.append(pack(lengths, np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "start", "ids"])
+
+    def assemble(flows: pa.Table, found: pa.Table) -> pa.Table:
+        if not flows.num_rows:
+            raise RuntimeError("words came for a chunk that is not there: the input changed between two reads")
+        names, flow, per_text, n_words = unpack(flows["flow"][0].as_py())
+        starts_at, blobs = found["start"].to_numpy(), found["ids"]
+        parts = [unpack(blobs[i].as_py()) for i in np.argsort(starts_at).tolist()]
+        lengths = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
+        ids = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int32)
         if len(lengths) != n_words:
-            raise RuntimeError("a chunk's words did not all come back: its input changed between two reads")
+            raise RuntimeError("a chunk's words did not all come back: the input changed between two reads")
         offset = np.cumsum(lengths) - lengths
         # All ids of the chunk in text order: for every pre-token, a run of the id table.
         runs = lengths[flow]
         ends = np.cumsum(runs)
         where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offset[flow] - (ends - runs), runs)
         whole, token_ends = ids[where], np.concatenate([[0], ends])
-        text_ends = token_ends[np.cumsum(per_text)]
-        return pd.DataFrame({"doc_id": names, "ids": np.split(whole, text_ends[:-1])})
+        edges = np.concatenate([[0], token_ends[np.cumsum(per_text)]])
+        keys = pa.array(names, arrow_key)
+        if digests:
+            return pa.Table.from_arrays([keys, *_digests(whole, edges, _decoder(sent.value))], ["doc_id", *DIGESTS])
+        return pa.Table.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(whole))], ["doc_id", "ids"])
 
-    words = rows.mapInPandas(word_rows, "chunk string, bucket int, start long, words binary")
-    found = words.repartition(count, "bucket").mapInPandas(encode_words, "chunk string, start long, ids binary")
-    flows = rows.mapInPandas(flow_rows, "chunk string, flow binary")
-    return flows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(assemble, f"doc_id {key}, ids array<int>")
+    words = rows.mapInArrow(word_rows, "chunk string, bucket int, start long, words binary")
+    found = words.repartition(count, "bucket").select("chunk", "start", "words").mapInArrow(encode_words, "chunk string, start long, ids binary")
+    flows = rows.mapInArrow(flow_rows, "chunk string, flow binary")
+    out = DIGEST_TYPES if digests else "ids array<int>"
+    return flows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assemble, f"doc_id {key}, {out}")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], digests: bool = False) -> DataFrame:
-    """Rows (doc_id, ids, decoded): the bytes behind the ids. An id outside the table is an error.
+    """Rows (doc_id, ids, decoded): the bytes behind stored ids. An id outside the table is an error.
 
     With `digests`, ids and bytes are reduced where they lie, to (doc_id, n_tokens, ids_sha256, decoded_sha256).
     """
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(sent.value)
-        decimals = np.array([b"%d " % i for i in range(len(table))])
         for batch in batches:
-            keys, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids"))
+            keys, lists = batch.column(0), batch.column(1)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            texts = (b"".join(map(table.__getitem__, ids.tolist())) for ids in rows)
-            if not digests:
-                yield pa.RecordBatch.from_arrays([keys, lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            if digests:
+                yield pa.RecordBatch.from_arrays([keys, *_digests(flat, ends, _decoder(sent.value))], ["doc_id", *DIGESTS])
                 continue
-            sums = [[hashlib.sha256(x).hexdigest() for x in part] for part in ((ids_text(ids, decimals) for ids in rows), texts)]
-            out = [keys, pa.array(np.diff(ends).astype(np.int64)), *[pa.array(s, pa.string()) for s in sums]]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            table = _decoder(sent.value)[0]
+            texts = (b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:]))
+            yield pa.RecordBatch.from_arrays([keys, lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     key = encoded.schema["doc_id"].dataType.simpleString()
-    rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    rest = DIGEST_TYPES if digests else "ids array<int>, decoded binary"
     return encoded.select("doc_id", "ids").mapInArrow(join, f"doc_id {key}, {rest}")
 
 
-def _table(ranks: dict[bytes, int]) -> list[bytes]:
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return table
+_DECODERS: dict[int, tuple[list[bytes], np.ndarray]] = {}
+
+
+def _decoder(ranks: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """The token-byte table and the decimal texts of all ids; made once per worker and vocabulary."""
+    if id(ranks) not in _DECODERS:
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _DECODERS.clear()
+        _DECODERS[id(ranks)] = table, np.array([b"%d " % i for i in range(len(table))])
+    return _DECODERS[id(ranks)]
+
+
+def _digests(flat: np.ndarray, edges: np.ndarray, decoder: tuple[list[bytes], np.ndarray]) -> list[pa.Array]:
+    """Of the runs of `flat` between edges: length, digest of the decimal ids, digest of the decoded bytes."""
+    table, decimals = decoder
+    ids_sums, text_sums = [], []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        ids_sums.append(hashlib.sha256(ids_text(flat[a:b], decimals)).hexdigest())
+        text_sums.append(hashlib.sha256(b"".join(map(table.__getitem__, flat[a:b].tolist()))).hexdigest())
+    return [pa.array(np.diff(edges).astype(np.int64)), pa.array(ids_sums, pa.string()), pa.array(text_sums, pa.string())]
 
 
 def ids_text(ids: np.ndarray, decimals: np.ndarray) -> bytes:
@@ -278,5 +300,4 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return decode(encoded, ranks, digests=True)
+    return encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
