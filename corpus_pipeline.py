@@ -38,8 +38,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the mixed documents, encoded and decoded."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks, digests=True)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, digests=True)
 
 
 STAGES = [
