@@ -13,12 +13,14 @@ from lagwise.llm.sharding import op9_sharding
 from lagwise.llm.simhash import op8_simhash_dedup
 from lagwise.llm.substring import op5_substring_dedup
 from lagwise.llm.toxicity import op6_toxicity
+from lagwise.llm.variants import OP11_SQL, op11_spelling_variants
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality_classifier, op3_mixing, op4_byte_bpe, op5_substring_dedup,
     op6_toxicity, op7_exact_dedup, op8_simhash_dedup, op9_sharding, op10_quality_rules,
+    op11_spelling_variants,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op11_spelling_variants": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
