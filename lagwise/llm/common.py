@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -55,6 +56,23 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).split()
 
 
+# Lower case for A-Z, a blank for all of ASCII that is neither letter nor digit; as many bytes as before.
+_NORMAL = bytes(i if i >= 0x80 or chr(i).isalnum() else 32 for i in range(256)).lower()
+LONG_WORD = 64
+
+
+def normalised(text: str | None) -> bytes:
+    """UTF-8 in which `split` finds the words of letters, digits and characters beyond ASCII, A-Z lower-cased."""
+    return utf8(text).translate(_NORMAL)
+
+
+def held(words: list[bytes]) -> list[bytes]:
+    """Words, those over `LONG_WORD` bytes as a sign that no normalised word has and their digest."""
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [w if len(w) <= LONG_WORD else b"#" + hashlib.sha256(w).digest()[:24].replace(b" ", b"#") for w in words]
+
+
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
 

@@ -8,21 +8,27 @@ from lagwise.llm.common import held_out
 from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"
+ITEMS = "item_id long, text string"
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_table(spark, empty, as_table, name):
-    folder = as_table(documents=empty, labels=spark.createDataFrame([], LABELS))
-    assert QUERIES[name](spark, folder).collect() == []
+    items = spark.createDataFrame([(1, "no one")], ITEMS)
+    for benchmark in (items, items.limit(0)):
+        folder = as_table(documents=empty, labels=spark.createDataFrame([], LABELS), benchmark=benchmark)
+        assert QUERIES[name](spark, folder).collect() == []
+        if not name.startswith(("op12", "op13")):
+            break
 
 
-PER_DOCUMENT = sorted(set(QUERIES) - {"pipeline", "op11_spelling_variants"})
+PER_DOCUMENT = sorted(set(QUERIES) - {"pipeline", "op11_spelling_variants", "op13_lexical_search"})
 
 
 @pytest.mark.parametrize("name", PER_DOCUMENT)
 def test_one_result_per_row(spark, odd_rows, as_table, name):
     marks = spark.createDataFrame([(4, 1, 0), (4, 0, None), (6, 0, 1), (None, 1, 1), (7, None, None)], LABELS)
-    got = QUERIES[name](spark, as_table(documents=odd_rows, labels=marks)).collect()
+    items = spark.createDataFrame([(1, "id here"), (1, None), (None, "no id"), (2, "")], ITEMS)
+    got = QUERIES[name](spark, as_table(documents=odd_rows, labels=marks, benchmark=items)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in odd_rows.collect())
 
 
