@@ -51,19 +51,41 @@ def tolerant_int(c: Column) -> Column:
     return tolerant_double(c).try_cast("int")
 
 
-# Date texts of feeds, tried in this order after ISO. Month comes before day.
-DATE_FORMATS = [
-    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "M-d-yyyy", "yyyy/M/d",
-    "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+# The date texts of feeds. Month comes before day; two digits of a year from 69 on mean the last century.
+ISO_DATE = "^[0-9]{4}(-[0-9]{1,2}){0,2}([ T].*)?$"
+CLOCK = "( (([01]?[0-9]|2[0-3])(:[0-5][0-9]){1,2}|(0?[1-9]|1[0-2])(:[0-5][0-9]){1,2} [AaPp][Mm]))?"
+MONTH_FIRST = "^([0-9]{1,2})([/-])([0-9]{1,2})\\2([0-9]{4})" + CLOCK + "$"
+YEAR_FIRST = "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + CLOCK + "$"
+DIGITS_ONLY = "^([0-9]{4})([0-9]{2})([0-9]{2})$"
+SHORT_YEAR = "^([0-9]{1,2})([/-])([0-9]{1,2})\\2"
+NAMED_MONTH = "^([A-Za-z]{3,9} [0-9]{1,2},|[0-9]{1,2} [A-Za-z]{3,9}) [0-9]{4}$"
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
 ]
 
 
 def text_to_date(c: Column) -> Column:
-    """Date or datetime text, ISO or in one of `DATE_FORMATS`, to a date; NULL when unreadable."""
+    """Date or datetime text to a date; NULL when unreadable, as is a time without a date.
+
+    ISO text is cast. Numeric texts are rewritten as ISO (`3/5/2024 8:30 AM`, `3-5-2024`, `2024/3/5`, `20240305`, `3/5/24`), as
+    are texts with an English month (`Mar 5, 2024`, `5 March 2024`). Every text is parsed once.
+    """
     text = strip(c)
-    # ISO text needs dashes after the year; eight digits alone are no year.
-    iso = F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text))
-    return F.to_date(F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
+    names = {n: i + 1 for i, month in enumerate(MONTHS) for n in (month, month[:3])}
+    numbers = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit(str(i)) for i in names.values())))
+    name = F.lower(F.regexp_extract(text, "[A-Za-z]+", 0))
+    day = F.regexp_extract(text, "(^| )([0-9]{1,2})[, ]", 2)
+    written = F.concat_ws("-", F.right(text, F.lit(4)), F.try_element_at(numbers, name), day)
+    numeric = text
+    for shape, iso in (
+        (MONTH_FIRST, "$4-$1-$3"), (YEAR_FIRST, "$1-$2-$3"), (DIGITS_ONLY, "$1-$2-$3"),
+        (SHORT_YEAR + "([0-5][0-9]|6[0-8])$", "20$4-$1-$3"), (SHORT_YEAR + "(69|[7-9][0-9])$", "19$4-$1-$3"),
+    ):
+        numeric = F.regexp_replace(numeric, shape, iso)
+    # Longer runs of digits would pass for years.
+    readable = text.rlike("^[0-9]{1,4}[/-]|^[0-9]{8}$")
+    iso = F.when(readable, numeric).when(text.rlike(NAMED_MONTH), written)
+    return F.when(text.rlike(ISO_DATE), F.to_date(F.try_to_timestamp(text))).otherwise(iso.try_cast("date"))
 
 
 # First month of each season.

@@ -30,8 +30,18 @@ def require_fields(df: DataFrame, columns: Sequence[str] = ("ref_date", "categor
 
 
 def normalise_dates(df: DataFrame, source: str = "ref_date") -> DataFrame:
-    """Add `date`; rows whose date text cannot be read are dropped."""
-    return df.withColumn("date", text_to_date(F.col(source))).filter(F.col("date").isNotNull())
+    """Add `date`; rows whose date text cannot be read are dropped.
+
+    Rows are dropped by way of an empty list, since a filter on the date would parse every text a second time.
+    """
+    dated = df.withColumn("_dates", F.array_compact(F.array(text_to_date(F.col(source)))))
+    return dated.select(*[c for c in df.columns if c.lower() != "date"], F.explode("_dates").alias("date"))
+
+
+def rejected_dates(df: DataFrame, keys: Sequence[str] = ("source_file",), source: str = "ref_date") -> DataFrame:
+    """Rows (keys, n_rows, n_rejected): how many records have no readable date, per file."""
+    date = text_to_date(F.col(source))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_if(date.isNull()).alias("n_rejected"))
 
 
 def standardise_categories(df: DataFrame, names: dict[str, str] = CATEGORY_NAMES) -> DataFrame:

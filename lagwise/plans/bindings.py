@@ -85,6 +85,25 @@ def referral_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referrals(spark, sf_dir).select(F.inline(rows))
 
 
+# The ways in which feeds write a date; the last three have no readable one.
+WRITTEN_DATES = [
+    "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d", "M/d/yyyy", "MM/dd/yyyy HH:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a",
+    "M/d/yyyy h:mm:ss a", "M-d-yyyy", "yyyy/M/d", "yyyy/MM/dd H:mm", "yyyy/M/d H:mm:ss", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy",
+    "d MMM yyyy", "d MMMM yyyy", "M/d/yy", "HH:mm", "'soon'", "MM/32/yyyy",
+]
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per order; its key decides how the date, with a time of day, is written."""
+    orders = table(spark, sf_dir, "orders")
+    minute = F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=F.col("o_orderkey") % 1440)
+    way = F.col("o_orderkey") % len(WRITTEN_DATES)
+    text = F.lit(None).cast("string")
+    for i, pattern in enumerate(WRITTEN_DATES):
+        text = F.when(way == i, F.date_format(minute, pattern)).otherwise(text)
+    return orders.select("o_orderkey", F.col("o_orderpriority").alias("source_file"), text.alias("ref_date"))
+
+
 def raw_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reading per (ship date, region); sums run over whole hundredths and so are exact."""
     lineitem, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")

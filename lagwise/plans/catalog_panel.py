@@ -135,6 +135,22 @@ def p7(spark, sf):
     return needs.normalise_dates(b.referral_feed(spark, sf)).select("ref_id", "row_seq", "date")
 
 
+_READABLE = f"o_orderkey % {len(b.WRITTEN_DATES)} < {len(b.WRITTEN_DATES) - 3}"
+
+
+@query("p7_date_formats", f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE {_READABLE}")
+def p7_formats(spark, sf):
+    return needs.normalise_dates(b.written_dates(spark, sf)).select("o_orderkey", "date")
+
+
+@query("p7_rejected_dates", f"""
+SELECT o_orderpriority AS source_file, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE NOT ({_READABLE})) AS n_rejected
+FROM orders GROUP BY 1
+""")
+def p7_rejected(spark, sf):
+    return needs.rejected_dates(b.written_dates(spark, sf))
+
+
 @query("p8_standard_categories", with_inputs("""
 SELECT CASE WHEN trim(category) = 'Other' THEN 'Other Assistance' ELSE trim(category) END AS category, COUNT(*) AS n
 FROM referral_feed GROUP BY 1

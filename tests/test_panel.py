@@ -245,12 +245,12 @@ def test_group_percentiles_equal_numpy(spark, kind):
 
 @pytest.mark.parametrize("text", [
     "2025-01-15", "2025-01-15T08:30:00", "2025-01-15 08:30:00.5", "01/15/2025", "1/15/2025 08:30", "1/15/2025 8:30:10", "1/15/2025 8:30 PM",
-    "1-15-2025", "2025/01/15", "2025/1/15 08:30", "20250115", "Jan 15, 2025", "January 15, 2025", "15 Jan 2025", " 2025-01-15 ",
+    "1-15-2025", "2025/01/15", "2025/1/15 08:30", "20250115", "Jan 15, 2025", "January 15, 2025", "15 Jan 2025", "15 January 2025", "1/15/25", "1-15-25", "1/15/2025 8:30:10 am", " 2025-01-15 ",
 ])
 def test_date_texts_of_feeds(spark, text):
     import datetime
 
     from lagwise.functions.expressions import text_to_date
 
-    df = spark.createDataFrame([(text,), ("soon",), ("13/45/2025",), (None,)], "t string")
-    assert [r[0] for r in df.select(text_to_date(F.col("t"))).collect()] == [datetime.date(2025, 1, 15), None, None, None]
+    df = spark.createDataFrame([(text,), ("soon",), ("13/45/2025",), (None,), ("10:30",), ("T10:00",), ("12345",), ("1/15/2025 99:99",)], "t string")
+    assert [r[0] for r in df.select(text_to_date(F.col("t"))).collect()] == [datetime.date(2025, 1, 15), *[None] * 7]
