@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import complete, round_stable
+from lagwise.operators.boosting import fit_splits
 from lagwise.operators.gram import column_shift, gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.operators.models import (
-    MIN_TRAIN, TARGET, TREES, available, prediction_rows, weather_model,
+    MIN_TEST, MIN_TRAIN, TARGET, TREES, available, prediction_rows,
 )
-from lagwise.schemas import ALL_WEATHER_FEATURES, BASELINE_FEATURES
+from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, BASELINE_FEATURES
 from lagwise.session import cut_lineage
 
 # The splits of the validation.
@@ -114,37 +115,30 @@ def rolling_linear(df: DataFrame, columns: Sequence[str] = tuple(BASELINE_FEATUR
         scored, model, linear_prediction(F.col("coefficients"), columns), F.col("split_index"), F.col("n_train"))
 
 
-def rolling_trees(df: DataFrame, weather_features: Sequence[str] = tuple(ALL_WEATHER_FEATURES),
-                  model: str = "var_all_weather", settings: dict | None = None,
+def rolling_trees(df: DataFrame, models: dict[str, Sequence[str]] | None = None, settings: dict | None = None,
                   min_train_days: int = MIN_TRAIN_DAYS, test_days: int = TEST_DAYS) -> DataFrame:
-    """Predictions of boosted trees refitted for every expanding split.
+    """Predictions of boosted trees refitted for every expanding split, all splits of all models at once.
 
-    Trees have no shortcut over splits: each one is a distributed fit over all rows before it.
-    The rows are checkpointed once and every fit reads them from there. Wider test windows make
-    fewer fits.
+    `models` has the weather features of each model; the base features come first.
     """
+    columns = {
+        name: available(df, list(dict.fromkeys([*BASE_FEATURES, *features])))
+        for name, features in (models or {"var_all_weather": ALL_WEATHER_FEATURES}).items()
+    }
     rows = cut_lineage(df)
-    out = None
-    for split in temporal_splits(rows, min_train_days, test_days).orderBy("split_index").collect():
-        train = rows.filter(F.col("date") < F.lit(split["test_start"]))
-        test = rows.filter((F.col("date") >= F.lit(split["test_start"])) & (F.col("date") < F.lit(split["test_end"])))
-        predicted, _ = weather_model(train, test, weather_features, model, settings or TREES, split["split_index"])
-        if predicted is not None:
-            out = predicted if out is None else out.unionByName(predicted)
-    if out is None:
-        out = prediction_rows(rows.limit(0), model, F.lit(0.0), F.lit(0), F.lit(0))
-    return out
+    splits = [r["split_index"] for r in temporal_splits(rows, min_train_days, test_days).select("split_index").collect()]
+    out = fit_splits(
+        _bucketed(rows, min_train_days, test_days), splits, columns, TARGET, settings or TREES, prediction_rows, MIN_TRAIN, MIN_TEST)
+    return prediction_rows(rows.limit(0), "", F.lit(0.0), F.lit(0), F.lit(0)) if out is None else out
 
 
 def rolling_validation(df: DataFrame, selected: Sequence[str], settings: dict | None = None,
                        min_train_days: int = MIN_TRAIN_DAYS, test_days: int = TEST_DAYS) -> DataFrame:
     """Metrics per split of the three models: baseline, all weather, selected weather."""
-    parts = [
-        rolling_linear(df, min_train_days=min_train_days, test_days=test_days),
-        rolling_trees(df, ALL_WEATHER_FEATURES, "var_all_weather", settings, min_train_days, test_days),
-        rolling_trees(df, selected, "granger_selected", settings, min_train_days, test_days),
-    ]
-    return forecast_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), min_test=3)
+    linear = rolling_linear(df, min_train_days=min_train_days, test_days=test_days)
+    models = {"var_all_weather": ALL_WEATHER_FEATURES, "granger_selected": selected}
+    trees = rolling_trees(df, models, settings, min_train_days, test_days)
+    return forecast_metrics(linear.unionByName(trees), min_test=MIN_TEST)
 
 
 def _gain(base: Column, other: Column, floor: float | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import complete, round_half_even, round_stable
+from lagwise.operators.boosting import fit_splits
 from lagwise.operators.gram import column_shift, gather_moments, least_squares, linear_prediction, moment_sums
 from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, BASELINE_FEATURES, EVENT_FLAGS
 
@@ -50,9 +51,9 @@ def fit_linear(train: DataFrame, columns: Sequence[str], alpha: float = 0.0, key
     )
 
 
-def prediction_rows(scored: DataFrame, model: str, prediction: Column, split: Column, n_train: Column) -> DataFrame:
+def prediction_rows(scored: DataFrame, model: str | Column, prediction: Column, split: Column, n_train: Column) -> DataFrame:
     return scored.select(
-        F.lit(model).alias("model_type"), split.cast("int").alias("split_index"), "date", "region_id", "need_type",
+        (F.lit(model) if isinstance(model, str) else model).alias("model_type"), split.cast("int").alias("split_index"), "date", "region_id", "need_type",
         F.col(TARGET).cast("double").alias("actual"), clamp(prediction).alias("predicted"),
         n_train.cast("long").alias("n_train"),
     )
@@ -187,13 +188,16 @@ def extreme_weather(df: DataFrame, columns: Sequence[str] = (*BASE_FEATURES, *AL
     if sizes.get("normal", 0) < 50 or sizes.get("extreme", 0) < 10:
         return empty
     train, normal_test, extreme = extreme_split(df, columns)
-    model = fit_trees(train, columns, settings or DRIFT_TREES)
-
-    def scored(rows: DataFrame, name: str) -> DataFrame:
-        error = F.col(TARGET) - clamp(F.col("prediction"))
-        return tree_predictions(model, rows, columns).select(F.lit(name).alias("kind"), error.alias("error"))
-
-    both = scored(normal_test, "normal").unionByName(scored(extreme, "extreme"))
+    # Window 0 is what is scored, by trees fitted to what stands before it.
+    parts = [
+        rows.select(F.lit(window).alias("split_index"), F.lit(kind).alias("kind"), TARGET, *columns)
+        for rows, window, kind in ((train, -1, "train"), (normal_test, 0, "normal"), (extreme, 0, "extreme"))
+    ]
+    both = fit_splits(
+        parts[0].unionByName(parts[1]).unionByName(parts[2]), [0], {"trees": columns}, TARGET, settings or DRIFT_TREES,
+        lambda rows, model, prediction, split, n: rows.select("kind", (F.col(TARGET) - clamp(prediction)).alias("error")),
+        min_train=1, min_test=1, keys=["kind"],
+    )
 
     def rmse(name: str) -> Column:
         return F.sqrt(F.avg(F.when(F.col("kind") == name, F.col("error") * F.col("error"))))

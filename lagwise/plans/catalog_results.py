@@ -20,7 +20,6 @@ from lagwise.sources import referrals, tables
 QUERIES = {}
 ORACLES = {}
 # Only the two queries that refit trees for every split still use few, shallow trees and wide windows; see the README.
-SMALL_TREES = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1, "seed": 42}
 
 
 def query(name: str, sql: str | None = None):
@@ -693,7 +692,7 @@ def e5_single(spark, sf):
 
 @query("e5_rolling_trees")
 def e5_trees(spark, sf):
-    predicted = evaluate.rolling_trees(b.stored_features(spark, sf), settings=SMALL_TREES, test_days=1000)
+    predicted = evaluate.rolling_trees(b.stored_features(spark, sf))
     return evaluate.forecast_metrics(predicted, min_test=3)
 
 
@@ -717,5 +716,5 @@ def l5(spark, sf):
 @query("l6_evaluation")
 def l6(spark, sf):
     selected = pipelines.selected_features(b.causal_results(spark, sf))
-    found = pipelines.evaluation(b.stored_features(spark, sf), selected, SMALL_TREES, SMALL_TREES, test_days=1000)
+    found = pipelines.evaluation(b.stored_features(spark, sf), selected)
     return found.select(*[F.to_json(c).alias(c) for c in found.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lagwise-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; who asks for it removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's readers reach it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     sc = df.sparkSession.sparkContext
