@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import round_stable
@@ -32,46 +32,43 @@ def matched_pairs(needs: DataFrame, weather: DataFrame, columns: Sequence[str] =
     return held.agg(F.count(F.lit(1)).alias("matched_pairs"))
 
 
-def _side(df: DataFrame, column: str, is_needs: int) -> DataFrame:
-    return df.select(F.col(column).alias("key"), F.lit(is_needs).alias("side")).distinct()
+IN_NEEDS, IN_WEATHER = 1, 2
 
 
-def _overlap(needs: DataFrame, weather: DataFrame, column: str) -> DataFrame:
-    """One row: how many distinct keys each side has, both have, and only needs have."""
-    keys = (
-        _side(needs, column, 1).unionByName(_side(weather, column, 0))
-        .groupBy("key").agg(F.max("side").alias("in_needs"), F.min("side").alias("only_needs"))
-    )
-    return keys.agg(
-        F.count_if(F.col("in_needs") == 1).alias("needs"),
-        F.count_if(F.col("only_needs") == 0).alias("weather"),
-        F.count_if((F.col("in_needs") == 1) & (F.col("only_needs") == 0)).alias("both"),
-        F.array_sort(F.collect_list(F.when(F.col("only_needs") == 1, F.col("key")))).alias("missing"),
-    )
+def presence(needs: DataFrame, weather: DataFrame, columns: Sequence[str] = tuple(CELL)) -> DataFrame:
+    """Distinct cells of either side with a mask of the sides that have them; each side is read once."""
+    marked = [df.select(*columns, F.lit(bit).alias("mask")) for df, bit in ((needs, IN_NEEDS), (weather, IN_WEATHER))]
+    return marked[0].unionByName(marked[1]).groupBy(*columns).agg(F.bit_or("mask").alias("mask"))
 
 
 def alignment_report(needs: DataFrame, weather: DataFrame) -> DataFrame:
     """One row with the coverage of regions, dates and (date, region) cells.
 
-    The pieces are scalar subqueries of one row each. The list of regions without weather
-    is as long as the region dimension, not as the data.
+    Cells carry a mask of the sides that have them. One pass over the cells groups the masks by region and by date at once;
+    the cells of a region are counted on the way. The list of regions without weather is as long as the region dimension.
     """
-    regions = _overlap(needs, weather, "region_id")
-    dates = _overlap(needs, weather, "date").drop("missing")
-    cells = needs.select(*CELL).distinct()
-    total = cells.agg(F.count(F.lit(1)).alias("social_needs_pairs"))
-    region, day = regions.select(F.struct("*")).scalar(), dates.select(F.struct("*")).scalar()
-    matched = matched_pairs(needs, weather).scalar()
-    report = total.select(
-        region["needs"].alias("social_needs_states"),
-        region["weather"].alias("weather_states"),
-        region["both"].alias("matched_states"),
-        region["missing"].alias("missing_weather_states"),
-        day["needs"].alias("social_needs_dates"),
-        day["weather"].alias("weather_dates"),
-        day["both"].alias("overlapping_dates"),
-        "social_needs_pairs",
-        matched.alias("matched_pairs"),
+    both = IN_NEEDS | IN_WEATHER
+    keyed = F.col("date").isNotNull() & F.col("region_id").isNotNull()
+    masks = presence(needs, weather).groupingSets([["region_id"], ["date"]], "region_id", "date").agg(
+        F.grouping("date").alias("by_region"), F.bit_or("mask").alias("mask"),
+        F.count_if(F.col("mask").bitwiseAND(IN_NEEDS) > 0).alias("cells"),
+        F.count_if((F.col("mask") == both) & keyed).alias("matched"),
+    )
+
+    def keys(by_region: int, has: int) -> Column:
+        return F.count_if((F.col("by_region") == by_region) & (F.col("mask").bitwiseAND(has) == has))
+
+    region = F.col("by_region") == 1
+    report = masks.agg(
+        keys(1, IN_NEEDS).alias("social_needs_states"),
+        keys(1, IN_WEATHER).alias("weather_states"),
+        keys(1, both).alias("matched_states"),
+        F.array_sort(F.collect_list(F.when(region & (F.col("mask") == IN_NEEDS), F.col("region_id")))).alias("missing_weather_states"),
+        keys(0, IN_NEEDS).alias("social_needs_dates"),
+        keys(0, IN_WEATHER).alias("weather_dates"),
+        keys(0, both).alias("overlapping_dates"),
+        F.coalesce(F.sum(F.when(region, F.col("cells"))), F.lit(0)).alias("social_needs_pairs"),
+        F.coalesce(F.sum(F.when(region, F.col("matched"))), F.lit(0)).alias("matched_pairs"),
     )
     share = F.col("matched_pairs") / F.greatest(F.col("social_needs_pairs"), F.lit(1)) * 100
     return report.withColumn("coverage_pct", round_stable(share, 1))

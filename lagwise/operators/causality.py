@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import correlation, round_half_even
+from lagwise.functions.expressions import round_half_even
 from lagwise.functions.statistics import lag_moments, nested_f_test, unit_root_test
 from lagwise.operators.needs import SERIES
 from lagwise.operators.summary import smallest_p
@@ -20,6 +20,8 @@ MAX_LAG = 15
 SIGNIFICANCE = 0.05
 RELAXED = 0.20
 FALLBACK_ROWS = 20
+# Rows of a group that one task looks at.
+PIECE_ROWS = 50_000
 VARIABLES = ["max_temp", "precip"]
 LAG_PREFIX = {"max_temp": "tmax", "precip": "prcp"}
 
@@ -185,19 +187,60 @@ def select_lag_features(lags: DataFrame, available: Sequence[int] = tuple(WEATHE
     return wanted.select(nearest.alias("feature")).unionByName(fixed).distinct()
 
 
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, halo: int) -> DataFrame:
+    """Rows with `_n` (rows of the group), `_at` (place in it, from 0) and `_piece`, each piece with the `halo` rows before it.
+
+    Rows are counted per group and first order column; only the counts of a group are added up in order, so a group
+    may be longer than one task. `size` is at least `halo`, so a halo never reaches beyond the piece before.
+    """
+    first, rest = order[0], list(order[1:])
+    counts = df.groupBy(*keys, first).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(*keys, first, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("_n"))
+    inner = Window.partitionBy(*keys, first).orderBy(*(rest or [first]))
+    rows = df.withColumn("_at", F.row_number().over(inner) - 1).join(placed, [*keys, first])
+    rows = rows.withColumn("_at", F.col("_at") + F.col("_before")).drop("_before")
+    own = F.floor(F.col("_at") / size).cast("int")
+    feeds = F.when((F.col("_at") % size >= size - halo) & ((own + 1) * size < F.col("_n")), F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.withColumn("_piece", F.explode(feeds))
+
+
 def cross_correlations(df: DataFrame, variable: str = "max_temp", target: str = "target_count", max_lag: int = 30,
-                       keys: Sequence[str] = tuple(SERIES), order: Sequence[str] = ("date",)) -> DataFrame:
+                       keys: Sequence[str] = tuple(SERIES), order: Sequence[str] = ("date",), piece: int = PIECE_ROWS) -> DataFrame:
     """Rows (lag, mean_corr, std_corr): correlation of the lagged variable with the target, over groups.
 
-    Groups shorter than `max_lag` + 5 rows and undefined correlations are left out.
+    Lags count rows in the given order. A group is cut into pieces that bring the `max_lag` rows before them along; each piece gives
+    sums of products per lag, which add up to those of the group. Groups shorter than `max_lag` + 5 rows and
+    undefined correlations are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    values = df.select(*keys, *order, F.col(target).cast("double").alias("_y"), F.col(variable).cast("double").alias("_x0"))
-    lagged = values.withColumns({
-        "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
-        **{f"_x{k}": F.lag("_x0", k).over(w) for k in range(1, max_lag + 1)},
-    }).filter(F.col("_n") >= max_lag + 5)
-    pairs = [F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x"), F.col("_y").alias("y")) for k in range(max_lag + 1)]
-    groups = lagged.select(*keys, F.inline(F.array(*pairs))).groupBy(*keys, "lag").agg(correlation("x", "y").alias("corr"))
-    long = groups.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
-    return long.groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))
+    names, size = list(keys), max(piece, max_lag)
+    values = df.select(*keys, *order, F.col(target).cast("double").alias("_y"), F.col(variable).cast("double").alias("_x"))
+    long_enough = in_pieces(values, names, order, size, max_lag).filter(F.col("_n") >= max_lag + 5)
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        x, y, at = (rows[c].to_numpy() for c in ("_x", "_y", "_at"))
+        begin = int(np.searchsorted(at, key[-1] * size))  # the halo stands before
+        out = []
+        for lag in range(max_lag + 1):
+            here = np.arange(max(begin, lag), len(x))
+            a, b = x[here - lag], y[here]
+            both = ~(np.isnan(a) | np.isnan(b))
+            a, b = a[both], b[both]
+            # Moments about the piece's own means; merging them needs no large sums.
+            n, ma, mb = len(a), a.mean() if len(a) else 0.0, b.mean() if len(a) else 0.0
+            out.append((*key[:-1], lag, n, ma, mb, ((a - ma) ** 2).sum(), ((b - mb) ** 2).sum(), ((a - ma) * (b - mb)).sum()))
+        return pd.DataFrame(out, columns=[*names, "lag", "n", "ma", "mb", "aa", "bb", "ab"])
+
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+    schema = f"{key_types}, lag int, n long, ma double, mb double, aa double, bb double, ab double"
+    pieces = long_enough.groupBy(*keys, "_piece").applyInPandas(sums, schema).filter("n > 0")
+    whole = Window.partitionBy(*keys, "lag")
+    means = {f"_{m}": F.sum(F.col("n") * F.col(m)).over(whole) / F.sum("n").over(whole) for m in ("ma", "mb")}
+    off = {m: F.col(m) - F.col(f"_{m}") for m in ("ma", "mb")}
+    added = pieces.withColumns(means).groupBy(*keys, "lag").agg(*[
+        F.sum(F.col(name) + F.col("n") * off[p] * off[q]).alias(name) for name, p, q in (("aa", "ma", "ma"), ("bb", "mb", "mb"), ("ab", "ma", "mb"))])
+    corr = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
+    groups = added.select(*keys, "lag", corr.alias("corr")).filter("corr IS NOT NULL")
+    return groups.groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))

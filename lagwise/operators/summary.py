@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwise.functions.expressions import correlation, neg_log10_p, round_stable
+from lagwise.functions.expressions import neg_log10_p, round_stable
 from lagwise.schemas import EVENT_FLAGS
 
 # Number of equal bins over [0, 1] in the p-value histogram.
@@ -73,25 +75,43 @@ def lag_heatmap(results: DataFrame, lags: Sequence[int], keys: Sequence[str] = (
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Rows (feature, then one value per column), pairwise complete, from a single pass.
+    """Rows (feature, then one value per column), pairwise complete.
 
-    Each row is laid out as its column pairs, which partial aggregation folds again before the
-    shuffle; one aggregate over all pairs at once would outgrow generated code.
+    Counts, sums, squares and products over the pairs come from four products of the masked value matrix of each Arrow
+    batch, added up per task, so a task sends four small matrices. Values are taken off their means first.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    values = [F.col(c).cast("double") for c in columns]
-    laid_out = [
-        F.struct(F.lit(k).alias("pair"), values[i].alias("x"), values[j].alias("y")) for k, (i, j) in enumerate(pairs)
-    ]
-    found = df.select(F.inline(F.array(*laid_out))).groupBy("pair").agg(
-        round_stable(correlation("x", "y"), digits).alias("r"))
-    names = F.array(*[F.array(F.lit(columns[i]), F.lit(columns[j])) for i, j in pairs])
-    named = found.select(names[F.col("pair")].alias("names"), "r")
-    both = named.select(F.inline(F.array(
-        F.struct(F.col("names")[0].alias("feature"), F.col("names")[1].alias("other"), "r"),
-        F.struct(F.col("names")[1].alias("feature"), F.col("names")[0].alias("other"), "r"),
-    )))
-    return both.groupBy("feature").pivot("other", list(columns)).agg(F.max("r"))
+    k = len(columns)
+    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    means = values.agg(F.struct(*[F.coalesce(F.avg(f"_{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(k)])).scalar()
+    centred = values.withColumn("_m", means).select(*[(F.col(f"_{i}") - F.col("_m")[f"m{i}"]).alias(f"_{i}") for i in range(k)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).reshape(-1, k)
+            known = ~np.isnan(x)
+            x = np.where(known, x, 0.0)
+            mask = known.astype(float)
+            sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(range(4 * k * k), pa.int32()), pa.array(sums.ravel())], ["pos", "value"])
+
+    added = centred.mapInArrow(products, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
+    whole = added.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("s"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat in batch.column(0).to_pylist():
+                n, total, square, product = np.array(flat).reshape(4, k, k)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    spread = square - total * total / n
+                    # What rounding leaves of a column that does not vary is no spread.
+                    spread[~(spread > 1e-12 * square)] = np.nan
+                    r = (product - total * total.T / n) / np.sqrt(spread * spread.T)
+                cells = [pa.array(column, pa.float64(), from_pandas=True) for column in r.T]
+                yield pa.RecordBatch.from_arrays([pa.array(list(columns)), *cells], ["feature", *columns])
+
+    found = whole.mapInArrow(finish, ", ".join(["feature string", *(f"`{c}` double" for c in columns)]))
+    return found.select("feature", *[round_stable(F.col(c), digits).alias(c) for c in columns])
 
 
 def p_histogram(results: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:

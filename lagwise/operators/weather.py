@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, LongType
 
 from lagwise.functions.expressions import day_number, flag, round_half_even
 from lagwise.operators.windows import add_rolling
@@ -71,45 +75,57 @@ def missing_report(df: DataFrame, columns: Sequence[str] = tuple(WEATHER_VALUES)
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-ROWS_PER_BUCKET = 500_000
+# Leading bits of a value that each reduction looks at: sign, exponent and 12 bits of the fraction, then 20 bits at a time.
+PERCENTILE_BITS = (40, 20, 0)
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float],
-                      buckets: int | None = None) -> DataFrame:
+@pandas_udf(LongType())
+def ordered_bits(values: pd.Series) -> pd.Series:
+    """The bits of doubles as integers in the same order; 0.0 and -0.0 are one, NaN comes last."""
+    plain = values.to_numpy(float) + 0.0
+    bits = np.where(np.isnan(plain), np.nan, plain).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@pandas_udf(DoubleType())
+def from_ordered_bits(bits: pd.Series) -> pd.Series:
+    plain = bits.to_numpy(np.int64)
+    return pd.Series(np.where(plain < 0, plain ^ np.int64(0x7FFFFFFFFFFFFFFF), plain).view(np.float64))
+
+
+def group_percentiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles with linear interpolation per group, one column per entry of `shares`.
 
-    Exact for groups of any size. Approximate percentiles cut a group into buckets of about
-    equal size; counting per bucket tells which buckets hold the ranks asked for, and only
-    those are put in order. No task sees more than one bucket of a group, and equal values
-    are counted before they are ordered.
+    Exact for groups of any size, by three reductions: values are counted by their leading bits, then, where the ranks asked
+    for lie, by the next ones, then by the last. Counts are formed before each shuffle; no value is sorted or sketched, and a
+    group sends at most 2^24 counts, then 2^20 per rank. Groups of NULL keys are left out.
     """
-    values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    if buckets is None:  # as many as keep a bucket of the largest group near ROWS_PER_BUCKET rows
-        largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = max(2, -(-largest // ROWS_PER_BUCKET))
-    edges = values.groupBy(*keys).agg(
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets)).alias("_edges"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    counts = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = counts.join(edges, list(keys)).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_rows")).withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    values = df.filter(F.col(column).isNotNull()).select(*keys, ordered_bits(F.col(column).cast("double")).alias("_u"))
+
+    def counted(rows: DataFrame, held: list[str], shift: int) -> DataFrame:
+        """Rows (keys, prefixes, _p, _before, _c): how many values have each prefix, and how many a smaller one."""
+        counts = rows.groupBy(*held, F.shiftright("_u", shift).alias("_p")).agg(F.count("*").alias("_c"))
+        earlier = Window.partitionBy(*held).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+
+    first = counted(values, list(keys), PERCENTILE_BITS[0])
     # Ranks are 0-based: share * (n - 1) lies between the ranks below and above it.
-    asked = edges.select(*keys, *[(F.lit(s) * (F.col("_n") - 1)).alias(n) for n, s in shares.items()])
-    ranks = asked.select(*keys, F.array_distinct(F.array(
-        *[f(n).cast("long") for n in shares for f in (F.floor, F.ceil)])).alias("_ranks"))
-    ends = Window.partitionBy(*keys).orderBy("_b")
-    wanted = per_bucket.withColumn("_until", F.lead("_before").over(ends)).join(ranks, list(keys)).withColumn(
-        "_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (F.col("_until").isNull() | (r < F.col("_until"))))
-    ).filter(F.size("_ranks") > 0).drop("_until")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.join(wanted, [*keys, "_b"]).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
-    hits = ordered.select(*keys, "_v", F.explode(F.filter(
-        "_ranks", lambda r: (r < F.col("_last")) & (r >= F.col("_last") - F.col("_c")))).alias("_r"))
-    at = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
+    sizes = first.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    asked = sizes.select(*keys, *[(F.lit(s) * (F.col("_n") - 1)).alias(n) for n, s in shares.items()])
+    ranks = asked.select(*keys, F.explode(F.array_distinct(F.array(
+        *[f(n).cast("long") for n in shares for f in (F.floor, F.ceil)]))).alias("_rank")).withColumn("_left", F.col("_rank"))
+    within = (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_c"))
+    held, found = list(keys), first
+    for shift in (*PERCENTILE_BITS[1:], None):
+        ranks = ranks.join(found, held).filter(within).withColumn("_left", F.col("_left") - F.col("_before"))
+        if shift is None:
+            break
+        named = f"_p{len(held)}"
+        ranks = ranks.select(*held, F.col("_p").alias(named), "_rank", "_left")
+        held.append(named)
+        prefix = [F.shiftright("_u", bits).alias(name) for bits, name in zip(PERCENTILE_BITS, held[len(keys):])]
+        found = counted(values.select(*keys, *prefix, "_u").join(ranks.select(*held).distinct(), held), held, shift)
+    at = ranks.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", from_ordered_bits("_p").alias("_v")))).alias("_at"))
 
     def between(rank):
         low, high = (F.element_at("_at", f(rank).cast("long")) for f in (F.floor, F.ceil))

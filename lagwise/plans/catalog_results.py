@@ -465,23 +465,39 @@ def g5_fallback(spark, sf):
     return _joined(causality.stored_significant_lags(b.causal_results(spark, sf).filter("significant_flag = 0")))
 
 
-@query("g6_cross_correlations", with_inputs(f"""
+def _cross_sql(keys: str, order: str) -> str:
+    same = " AND ".join(f"s.{k} = t.{k}" for k in keys.split(", "))
+    return f"""
 SELECT lag, {stable('AVG(r)', 6)} AS mean_corr, {stable('stddev_samp(r)', 6)} AS std_corr FROM (
-  SELECT lag, region_id, need_type, corr(x, y) AS r FROM (
-    SELECT k AS lag, t.region_id, t.need_type, t.y, s.max_temp AS x
-    FROM (SELECT *, row_number() OVER (PARTITION BY region_id, need_type ORDER BY date) AS at,
-                 COUNT(*) OVER (PARTITION BY region_id, need_type) AS n FROM tested) t,
+  SELECT lag, {keys}, corr(x, y) AS r FROM (
+    SELECT k AS lag, {", ".join("t." + k for k in keys.split(", "))}, t.y, s.max_temp AS x
+    FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS at,
+                 COUNT(*) OVER (PARTITION BY {keys}) AS n FROM tested) t,
          range(0, 31) AS lags(k),
-         (SELECT *, row_number() OVER (PARTITION BY region_id, need_type ORDER BY date) AS at FROM tested) s
-    WHERE s.region_id = t.region_id AND s.need_type = t.need_type AND s.at = t.at - k AND t.n >= 35)
+         (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS at FROM tested) s
+    WHERE {same} AND s.at = t.at - k AND t.n >= 35)
   GROUP BY ALL) WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY lag
-""", "feature_matrix", "weather_daily", tested=_TESTED))
-def g6(spark, sf):
-    found = causality.cross_correlations(_tested_panel(spark, sf))
+"""
+
+
+def _rounded_cross(found):
     return found.select(F.col("lag").cast("bigint").alias("lag"), *[
         ex.round_stable(F.col(c), 6).alias(c) for c in ("mean_corr", "std_corr")])
 
 
+@query("g6_cross_correlations", with_inputs(
+    _cross_sql("region_id, need_type", "date"), "feature_matrix", "weather_daily", tested=_TESTED))
+def g6(spark, sf):
+    return _rounded_cross(causality.cross_correlations(_tested_panel(spark, sf)))
+
+
+@query("g6_cross_correlations_by_region", with_inputs(
+    _cross_sql("region_id", "date, need_type"), "feature_matrix", "weather_daily", tested=_TESTED))
+def g6_region(spark, sf):
+    return _rounded_cross(causality.cross_correlations(
+        _tested_panel(spark, sf), keys=["region_id"], order=["date", "need_type"], piece=500))
+
+
 _NEAREST = ", ".join(f"({k})" for k in WEATHER_LAGS)
 
 

@@ -64,9 +64,10 @@ def test_lag_choice_and_features(spark):
     assert {"tmax_lag_1", "tmax_lag_3"} <= picked and len(picked) == 10
 
 
-def test_cross_correlation_equals_numpy(spark):
+@pytest.mark.parametrize("piece", [50_000, 97, 10])
+def test_cross_correlation_equals_numpy(spark, piece):
     df, pdf = panel(spark)
-    got = {r["lag"]: r for r in causality.cross_correlations(df, max_lag=10).collect()}
+    got = {r["lag"]: r for r in causality.cross_correlations(df, max_lag=10, piece=piece).collect()}
     assert sorted(got) == list(range(11))
     for lag in (0, 3, 10):
         corrs = []
@@ -78,6 +79,19 @@ def test_cross_correlation_equals_numpy(spark):
         assert got[lag]["std_corr"] == pytest.approx(np.std(corrs, ddof=1))
 
 
+def test_cross_correlation_with_gaps_and_long_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(START + timedelta(days=i // 3), "R", f"n{i % 3}", *(None if rng.random() < 0.1 else float(v) + 1e6 for v in rng.normal(size=2))) for i in range(900)]
+    df = spark.createDataFrame(rows, "date date, region_id string, need_type string, target_count double, max_temp double").repartition(5)
+    found = causality.cross_correlations(df, max_lag=7, keys=["region_id"], order=["date", "need_type"], piece=40)
+    got = {r["lag"]: r["mean_corr"] for r in found.collect()}
+    y, x = (np.array([np.nan if r[i] is None else r[i] for r in rows]) for i in (3, 4))
+    for lag in range(8):
+        a, b = x[: len(x) - lag], y[lag:]
+        both = ~np.isnan(a) & ~np.isnan(b)
+        assert got[lag] == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-9)
+
+
 def features(spark, n=200, seed=11):
     rng = np.random.default_rng(seed)
     rows = []
