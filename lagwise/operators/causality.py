@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import round_half_even
+from lagwise.functions.moments import PAIR_MOMENTS, PAIR_TYPES, merged_correlations
 from lagwise.functions.statistics import lag_moments, nested_f_test, unit_root_test
 from lagwise.operators.needs import SERIES
 from lagwise.operators.summary import smallest_p
@@ -231,16 +232,9 @@ def cross_correlations(df: DataFrame, variable: str = "max_temp", target: str =
             # Moments about the piece's own means; merging them needs no large sums.
             n, ma, mb = len(a), a.mean() if len(a) else 0.0, b.mean() if len(a) else 0.0
             out.append((*key[:-1], lag, n, ma, mb, ((a - ma) ** 2).sum(), ((b - mb) ** 2).sum(), ((a - ma) * (b - mb)).sum()))
-        return pd.DataFrame(out, columns=[*names, "lag", "n", "ma", "mb", "aa", "bb", "ab"])
+        return pd.DataFrame(out, columns=[*names, "lag", *PAIR_MOMENTS])
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    schema = f"{key_types}, lag int, n long, ma double, mb double, aa double, bb double, ab double"
-    pieces = long_enough.groupBy(*keys, "_piece").applyInPandas(sums, schema).filter("n > 0")
-    whole = Window.partitionBy(*keys, "lag")
-    means = {f"_{m}": F.sum(F.col("n") * F.col(m)).over(whole) / F.sum("n").over(whole) for m in ("ma", "mb")}
-    off = {m: F.col(m) - F.col(f"_{m}") for m in ("ma", "mb")}
-    added = pieces.withColumns(means).groupBy(*keys, "lag").agg(*[
-        F.sum(F.col(name) + F.col("n") * off[p] * off[q]).alias(name) for name, p, q in (("aa", "ma", "ma"), ("bb", "mb", "mb"), ("ab", "ma", "mb"))])
-    corr = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
-    groups = added.select(*keys, "lag", corr.alias("corr")).filter("corr IS NOT NULL")
+    pieces = long_enough.groupBy(*keys, "_piece").applyInPandas(sums, f"{key_types}, lag int, {PAIR_TYPES}")
+    groups = merged_correlations(pieces, [*names, "lag"]).filter("corr IS NOT NULL")
     return groups.groupBy("lag").agg(F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"))

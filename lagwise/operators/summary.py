@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import neg_log10_p, round_stable
+from lagwise.functions.moments import PAIR_MOMENTS, PAIR_TYPES, merged_correlations
 from lagwise.schemas import EVENT_FLAGS
 
 # Number of equal bins over [0, 1] in the p-value histogram.
@@ -75,43 +76,38 @@ def lag_heatmap(results: DataFrame, lags: Sequence[int], keys: Sequence[str] = (
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Rows (feature, then one value per column), pairwise complete.
+    """Rows (feature, then one value per column), pairwise complete, from a single pass.
 
     Counts, sums, squares and products over the pairs come from four products of the masked value matrix of each Arrow
-    batch, added up per task, so a task sends four small matrices. Values are taken off their means first.
+    batch, added up per task. Values are taken off the means of the task's first rows, so that no digits are lost; a task
+    sends one row of moments per pair of columns.
     """
-    k = len(columns)
+    k, names = len(columns), list(columns)
     values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    means = values.agg(F.struct(*[F.coalesce(F.avg(f"_{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(k)])).scalar()
-    centred = values.withColumn("_m", means).select(*[(F.col(f"_{i}") - F.col("_m")[f"m{i}"]).alias(f"_{i}") for i in range(k)])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, k, k))
+        sums, shift = np.zeros((4, k, k)), None
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).reshape(-1, k)
             known = ~np.isnan(x)
-            x = np.where(known, x, 0.0)
+            if shift is None and len(x):
+                shift = np.where(known, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+            x = np.where(known, x - shift, 0.0)
             mask = known.astype(float)
             sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
-        yield pa.RecordBatch.from_arrays([pa.array(range(4 * k * k), pa.int32()), pa.array(sums.ravel())], ["pos", "value"])
+        if shift is None:
+            return
+        n, total, square, product = sums
+        mean = total / np.maximum(n, 1)
+        own = square - total * mean
+        found = [n.astype(np.int64), mean + shift[:, None], (mean + shift[:, None]).T, own, own.T, product - total * mean.T]
+        first, second = np.indices((k, k))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(names, object)[i.ravel()]) for i in (first, second)] + [pa.array(f.ravel()) for f in found],
+            ["feature", "other", *PAIR_MOMENTS])
 
-    added = centred.mapInArrow(products, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-    whole = added.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("s"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for flat in batch.column(0).to_pylist():
-                n, total, square, product = np.array(flat).reshape(4, k, k)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    spread = square - total * total / n
-                    # What rounding leaves of a column that does not vary is no spread.
-                    spread[~(spread > 1e-12 * square)] = np.nan
-                    r = (product - total * total.T / n) / np.sqrt(spread * spread.T)
-                cells = [pa.array(column, pa.float64(), from_pandas=True) for column in r.T]
-                yield pa.RecordBatch.from_arrays([pa.array(list(columns)), *cells], ["feature", *columns])
-
-    found = whole.mapInArrow(finish, ", ".join(["feature string", *(f"`{c}` double" for c in columns)]))
-    return found.select("feature", *[round_stable(F.col(c), digits).alias(c) for c in columns])
+    pairs = merged_correlations(values.mapInArrow(products, f"feature string, other string, {PAIR_TYPES}"), ["feature", "other"])
+    return pairs.groupBy("feature").pivot("other", names).agg(F.max(round_stable(F.col("corr"), digits)))
 
 
 def p_histogram(results: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -145,15 +141,16 @@ def discovery_rate(results: DataFrame) -> DataFrame:
 
 def headline(needs_raw: DataFrame, weather: DataFrame, needs: DataFrame, features: DataFrame,
              causal: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Seven counts over the whole store, each a scalar subquery."""
+    """Seven counts over the whole store, each table counted once; stored panels are best, as features are made of them."""
     rows = F.count(F.lit(1))
+    tests = causal.agg(F.struct(rows.alias("n"), F.count_if(F.col("significant_flag") == 1).alias("significant"))).scalar()
     return needs_raw.agg(rows.alias("raw_records")).select(
         "raw_records",
         weather.agg(F.countDistinct("region_id")).scalar().alias("states"),
         needs.agg(F.countDistinct("need_type")).scalar().alias("need_categories"),
         features.agg(rows).scalar().alias("feature_rows"),
-        causal.agg(rows).scalar().alias("granger_tests"),
-        causal.agg(F.count_if(F.col("significant_flag") == 1)).scalar().alias("significant_tests"),
+        tests["n"].alias("granger_tests"),
+        tests["significant"].alias("significant_tests"),
         experiments.agg(rows).scalar().alias("experiments"),
     )
 

@@ -196,6 +196,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         model.alias("model_type"),
         F.year("l_shipdate").alias("split_index"),
+        F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_quantity") - 1).alias("actual"),
         (F.col("l_quantity") * (1 + F.col("l_discount") - F.col("l_tax"))).alias("predicted"),
     )
@@ -428,7 +429,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS experiment_id, l_linenumber AS split_index
 
 SQL["predictions"] = """
 SELECT CASE l_returnflag WHEN 'A' THEN 'baseline_ar' WHEN 'N' THEN 'var_all_weather' ELSE 'granger_selected' END AS model_type,
-       CAST(year(l_shipdate) AS INTEGER) AS split_index, l_quantity - 1 AS actual,
+       CAST(year(l_shipdate) AS INTEGER) AS split_index, CAST(l_shipdate AS DATE) AS date, l_quantity - 1 AS actual,
        l_quantity * (1 + l_discount - l_tax) AS predicted FROM lineitem
 """
 

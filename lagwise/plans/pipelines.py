@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwise.operators import causality, evaluate, models
@@ -13,6 +13,8 @@ from lagwise.operators.align import alignment_report
 from lagwise.operators.features import with_current_weather
 from lagwise.schemas import ALL_WEATHER_FEATURES, BASE_FEATURES, NEEDS_DAILY, WEATHER_DAILY
 from lagwise.session import cut_lineage
+from lagwise.sources import results as stored
+from lagwise.sources.tables import write_summary
 
 
 def clean_weather(raw: DataFrame, calendar: bool = False) -> DataFrame:
@@ -89,6 +91,64 @@ def fit_models(features: DataFrame, selected: list[str], settings: dict | None =
     return predictions, importances
 
 
+def store_causal(root: str, results: DataFrame, features: DataFrame, experiment_id: str) -> None:
+    """Store the rows of a causal report under one header."""
+    span = features.agg(F.min("date").alias("train_start"), F.max("date").alias("train_end"))
+    headers = span.select(*stored.header(
+        F.lit(experiment_id), F.lit("granger_causality"), F.lit("Granger causality tests of weather on needs"),
+        train_start=F.col("train_start"), train_end=F.col("train_end")))
+    rows = results.withColumn("experiment_id", F.lit(experiment_id))
+    stored.store_experiments(results.sparkSession, root, headers, {"causal_results": rows})
+
+
+def store_holdout(root: str, predictions: DataFrame, importances: DataFrame | None, train_start: Column, run_id: str) -> None:
+    """Store the hold-out metrics, one experiment per model, with its gains as parameters."""
+    ids = F.concat_ws("-", F.lit(run_id), "model_type")
+    found = predictions.groupBy("model_type").agg(F.min("date").alias("test_start"), F.max("date").alias("test_end"))
+    gains = F.lit("{}")
+    if importances is not None:
+        packed = importances.groupBy("model_type").agg(
+            F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "importance"))))).alias("gains"))
+        found, gains = found.join(packed, "model_type", "left"), F.coalesce("gains", F.lit("{}"))
+    headers = found.select(*stored.header(
+        ids, F.col("model_type"), F.concat("model_type", F.lit(" model on the hold-out days")), gains,
+        train_start=train_start, train_end=F.date_sub("test_start", 1), test_start=F.col("test_start"), test_end=F.col("test_end")))
+    metrics = evaluate.forecast_metrics(predictions, ["model_type"], min_test=models.MIN_TEST)
+    metrics = metrics.withColumns({"experiment_id": ids, "split_index": F.lit(0)})
+    stored.store_experiments(predictions.sparkSession, root, headers, {"metrics": metrics})
+
+
+def store_rolling(root: str, metrics: DataFrame, dates: DataFrame, run_id: str) -> None:
+    """Store a rolling validation, one experiment per model: the report in its header, its RMSE per split as metrics.
+
+    The other values of a metric row are those of the model's report. `dates` has the first and last date (`train_start`, `train_end`).
+    """
+    reports = evaluate.stability_report(metrics)
+    ids = F.concat_ws("-", F.lit(run_id), "model_type")
+    days = dates.select(F.struct("train_start", "train_end")).scalar()
+    headers = reports.withColumn("_days", days).select(*stored.header(
+        ids, F.concat(F.lit("rolling_"), "model_type"),
+        F.concat(F.lit("Rolling validation of "), "model_type", F.lit(", "), "n_splits", F.lit(" splits")),
+        F.to_json(F.struct(*reports.columns)), train_start=F.col("_days")["train_start"], train_end=F.col("_days")["train_end"]))
+    rows = metrics.select("model_type", "split_index", "rmse", "nrmse").join(
+        reports.select("model_type", F.col("mean_mae").alias("mae"), F.col("mean_mape").alias("mape"), "stability_score"), "model_type")
+    stored.store_experiments(metrics.sparkSession, root, headers, {"metrics": rows.withColumn("experiment_id", ids)})
+
+
+def stored_run(root: str, features: DataFrame, weather: DataFrame, run_id: str, settings: dict | None = None) -> DataFrame:
+    """Causal report, selection, models and hold-out metrics of one run, stored under ids that begin with `run_id`.
+
+    Returns the comparison of the models. A repeated run replaces what it stored before.
+    """
+    rows = cut_lineage(features)
+    causes = cut_lineage(causal_report(rows, weather))
+    store_causal(root, causes, rows, f"{run_id}-causal")
+    predictions, importances = fit_models(rows, selected_features(causes), settings)
+    predictions = cut_lineage(predictions)
+    store_holdout(root, predictions, importances, rows.agg(F.min("date")).scalar(), run_id)
+    return holdout_comparison(predictions)
+
+
 def holdout_comparison(predictions: DataFrame) -> DataFrame:
     """Metrics per model and improvement over the baseline."""
     metrics = evaluate.forecast_metrics(predictions, ["model_type"], min_test=models.MIN_TEST)
@@ -102,7 +162,12 @@ def evaluation(features: DataFrame, selected: list[str], settings: dict | None =
     The feature matrix is checkpointed once, as every model fit reads it again; so are the
     results of the fits, as several parts of the summary read those.
     """
-    rows = cut_lineage(features)
+    return _evaluated(cut_lineage(features), selected, settings, drift_settings, min_train_days, test_days)[0]
+
+
+def _evaluated(rows: DataFrame, selected: list[str], settings: dict | None = None, drift_settings: dict | None = None,
+               min_train_days: int = evaluate.MIN_TRAIN_DAYS, test_days: int = evaluate.TEST_DAYS) -> tuple[DataFrame, DataFrame]:
+    """The summary and the metrics per split behind it."""
     metrics = cut_lineage(evaluate.rolling_validation(rows, selected, settings, min_train_days, test_days))
     reports = evaluate.stability_report(metrics)
     all_columns = [*BASE_FEATURES, *ALL_WEATHER_FEATURES]
@@ -111,9 +176,20 @@ def evaluation(features: DataFrame, selected: list[str], settings: dict | None =
         .unionByName(models.extreme_weather(rows, BASE_FEATURES, drift_settings).withColumn("model", F.lit("baseline")))
     )
     packed = F.array_sort(F.collect_list(F.struct("*")))
-    return evaluate.improvements(reports, drift).select(
+    summary = evaluate.improvements(reports, drift).select(
         F.struct("*").alias("improvements"),
         reports.agg(packed).scalar().alias("stability_reports"),
         models.seasonal_drift(rows, all_columns).agg(packed).scalar().alias("seasonal_drift"),
         drift.select("model", *[c for c in drift.columns if c != "model"]).agg(packed).scalar().alias("extreme_weather_drift"),
     )
+    return summary, metrics
+
+
+def stored_evaluation(root: str, features: DataFrame, selected: list[str], run_id: str, **settings) -> DataFrame:
+    """`evaluation`, with the rolling metrics stored as experiments and the summary as JSON under `root`."""
+    rows = cut_lineage(features)
+    found, metrics = _evaluated(rows, selected, **settings)
+    found = cut_lineage(found)
+    store_rolling(root, metrics, rows.agg(F.min("date").alias("train_start"), F.max("date").alias("train_end")), run_id)
+    write_summary(found, f"{root}/summaries/{run_id}")
+    return found

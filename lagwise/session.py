@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark's readers reach it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,7 +56,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    cut_lineage_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_ready(spark: SparkSession) -> None:
+    """Name the checkpoint folder if nobody has."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def cut_lineages(*frames: DataFrame) -> list[DataFrame]:
+    """Reliable checkpoints of independent frames, written at the same time."""
+    cut_lineage_ready(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(cut_lineage, frames))
