@@ -88,23 +88,34 @@ def parse(spark, sf):
     return referrals.parse_referrals(raw, referrals.region_lookup(raw)).select(*_PARSED_COLUMNS)
 
 
-@query("s1_s2_csv_ingest", with_inputs(_PARSED, headers=_HEADERS))
-def csv_ingest(spark, sf):
+def _csv_feed(spark, sf, files: int = 2) -> list[str]:
+    """The feed as files of two kinds of headers, and a file that is not there."""
     full, core = _scratch(spark, "feed-full"), _scratch(spark, "feed-core")
-    rows = _headers(spark, sf).drop("row_seq")
+    rows = _headers(spark, sf).drop("row_seq").repartition(files, "REF_ID")
     first = F.col("REF_CODE") != ""
     rows.filter(first).drop("REF_CODE_x").write.csv(full, header=True, escape='"', quoteAll=True)
     rows.filter(~first).drop("REF_CODE").write.csv(core, header=True, escape='"', quoteAll=True)
-    found = referrals.ingest_referrals(spark, [full, f"{full}-absent", core])
-    return found.select(*_PARSED_COLUMNS)
+    return [full, f"{full}-absent", core]
+
+
+@query("s1_s2_csv_ingest", with_inputs(_PARSED, headers=_HEADERS))
+def csv_ingest(spark, sf):
+    return referrals.ingest_referrals(spark, _csv_feed(spark, sf)).select(*_PARSED_COLUMNS)
+
+
+@query("s2_many_files", with_inputs(_PARSED, headers=_HEADERS))
+def many_files(spark, sf):
+    return referrals.ingest_referrals(spark, _csv_feed(spark, sf, files=100)).select(*_PARSED_COLUMNS)
 
 
 @query("s1_ingest_report", with_inputs("""
-SELECT 'orders' AS filename, COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE o_orderstatus <> 'P') AS ingested,
-       COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS skipped FROM headers
+SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE o_orderstatus <> 'P') AS ingested,
+       COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS skipped, 2 AS kinds FROM headers
 """, headers=_HEADERS))
 def ingest_report(spark, sf):
-    return referrals.ingest_report(_complete_headers(_headers(spark, sf)))
+    """The reports of the files written, added up, since their names are Spark's."""
+    report = referrals.ingest_report(referrals.scan_files(spark, _csv_feed(spark, sf, files=1)))
+    return report.agg(*[F.sum(c).alias(c) for c in ("total_rows", "ingested", "skipped")], F.count("filename").cast("int").alias("kinds"))
 
 
 _ZIPS = """

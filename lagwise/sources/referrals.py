@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,40 +17,62 @@ from lagwise.schemas import REFERRAL_OTHER, REFERRAL_TEXT
 HEADERS = [*REFERRAL_TEXT, *REFERRAL_OTHER]
 
 
-def scan_file(spark: SparkSession, path: str, rank: int = 0, multi_line: bool = True) -> DataFrame | None:
-    """One file as text columns; None when it does not exist.
+def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, str]]:
+    """(file, its URI, first line) of every file named or lying in a folder named, in list order; what is absent or empty is left out.
 
-    Only the known headers are taken, so names, organisations and birth dates never enter
-    the plan; headers the file lacks become NULL. `row_seq` orders rows as they were read:
-    file, block, position. Quoted line breaks need `multi_line`; feeds known to have none
-    can switch it off, which lets Spark split a large file over many tasks.
+    Spark's file systems list the files and read the one line; only that comes to the driver.
     """
-    try:
-        raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    have = {c.lstrip("﻿"): c for c in raw.columns}
-    wanted = [(F.col(f"`{have[h]}`") if h in have else F.lit(None).cast("string")).alias(h) for h in HEADERS]
-    position = F.struct(
-        F.lit(rank).alias("file_rank"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return raw.select(*wanted, F.col("_metadata.file_name").alias("source_file"), position.alias("row_seq"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(conf)
+        if not files.exists(place):
+            continue
+        for status in sorted(files.listStatus(place), key=lambda s: s.getPath().getName()):
+            if status.isFile() and status.getLen() and status.getPath().getName()[0] not in "._":
+                stream = files.open(status.getPath())
+                try:
+                    line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+                finally:
+                    stream.close()
+                found.append((status.getPath().toString(), status.getPath().toUri().toString(), line))
+    return found
+
+
+def _one_slash(path: str) -> str:
+    """A URI as both listings and Spark's metadata can be brought to write it."""
+    return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", path)
 
 
 def scan_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
-    """All files that exist, in list order."""
-    found = [scan_file(spark, path, rank, multi_line) for rank, path in enumerate(paths)]
-    found = [df for df in found if df is not None]
-    if not found:
+    """All files that exist, as text columns.
+
+    Only the known headers are taken, so names, organisations and birth dates never enter the plan; headers that a file
+    lacks become NULL. Files of equal headers are one read, however many they are. `row_seq` orders rows as they were listed:
+    file, block, position. Quoted line breaks need `multi_line`, which makes each file one task; feeds known to have none can
+    switch it off, and Spark splits large files.
+    """
+    files = listed_files(spark, paths)
+    if not files:
         raise FileNotFoundError(f"none of the files exists: {list(paths)}")
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for path, _, line in files:
+        alike.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(path)
+    ranks = spark.createDataFrame([(_one_slash(uri), i) for i, (_, uri, _) in enumerate(files)], "path string, file_rank int")
+    out = None
+    for names, group in alike.items():
+        # Names by place, since headers may repeat; the first of equal ones counts.
+        schema = ", ".join(f"_{i} string" for i in range(len(names)))
+        raw = spark.read.schema(schema).csv(group, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+        wanted = [(F.col(f"_{names.index(h)}") if h in names else F.lit(None).cast("string")).alias(h) for h in HEADERS]
+        part = raw.select(
+            *wanted, F.col("_metadata.file_name").alias("source_file"),
+            F.regexp_replace(F.col("_metadata.file_path"), "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.join(ranks, "path").select(*HEADERS, "source_file", F.struct("file_rank", "block", "row").alias("row_seq"))
 
 
 def region_lookup(raw: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def test_splittable_read_gives_the_same_rows(spark, files):
     assert sorted(a) == sorted(b)
 
 
+def test_many_files_are_few_jobs(spark, tmp_path):
+    for i in range(60):
+        name = "REF_CODE" if i % 3 else "REF_CODE_x"
+        (tmp_path / f"f{i:02d} .csv").write_text(f"REF_ID,{name},REF_DATE,ZIPCODE,STATE,CATEGORY,REF_ID\n{i},c{i},2025-01-01,{i % 5},S{i},Food,again\n")
+    (tmp_path / "empty.csv").write_text("")
+    sc = spark.sparkContext
+    sc.setJobGroup("many", "many")
+    try:
+        paths = [str(tmp_path / f"f{i:02d} .csv") for i in reversed(range(60))] + [str(tmp_path / "empty.csv")]
+        df = referrals.scan_files(spark, paths)
+        assert len(sc.statusTracker().getJobIdsForGroup("many")) <= 2
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    rows = df.orderBy("row_seq").collect()
+    assert [r["REF_ID"] for r in rows] == [str(i) for i in reversed(range(60))]
+    assert all((r["REF_CODE"] or r["REF_CODE_x"]) == f"c{r['REF_ID']}" for r in rows)
+    # The file listed first decides the state of a zip code, and a folder counts in the order of its names.
+    assert {r["zipcode"]: r["state"] for r in referrals.region_lookup(df).collect()} == {str(k): f"S{55 + k}" for k in range(5)}
+    folder = referrals.region_lookup(referrals.scan_files(spark, [str(tmp_path)])).collect()
+    assert {r["zipcode"]: r["state"] for r in folder} == {str(k): f"S{k}" for k in range(5)}
+
+
 def test_no_file_at_all(spark):
     with pytest.raises(FileNotFoundError):
         referrals.scan_files(spark, ["/tmp/absent-a.csv"])
