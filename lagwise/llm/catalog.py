@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lagwise.llm.bpe import op4_byte_bpe
 from lagwise.llm.contamination import OP12_SQL, op12_decontamination
 from lagwise.llm.exact import OP7_SQL, op7_exact_dedup
@@ -22,10 +21,7 @@ QUERIES = {f.__name__: f for f in (
     op6_toxicity, op7_exact_dedup, op8_simhash_dedup, op9_sharding, op10_quality_rules,
     op11_spelling_variants, op12_decontamination, op13_lexical_search,
 )}
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {
     "op3_mixing": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op11_spelling_variants": OP11_SQL,
     "op12_decontamination": OP12_SQL, "op13_lexical_search": OP13_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

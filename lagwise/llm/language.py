@@ -9,7 +9,8 @@ Learning uses a hash-chosen sample of at most `SAMPLE_PER_LANG` rows per languag
 documented bound; a linear number of landmarks comes from it). Whole texts are used in learning and scoring.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is every text when nothing can be
-learned. Ties go to the first language by code point. Repeated rows give repeated results.
+learned. Ties go to the first language by code point. Repeated rows give repeated results. Very long texts are read
+whole. An empty table gives an empty result. Only id and text are read, in learning lang as well, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -82,11 +83,13 @@ def fit(docs: DataFrame, learn, per_lang: int = SAMPLE_PER_LANG, sample_rows: in
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(row.astype(bool)).tobytes() for chunk in parts(texts, BATCH) for row in presence(chunk)], dtype=object)
 
-    # An expected share 1.3 times the wish, in a hash order; the exact bound is applied to what comes back.
+    # An expected share 1.3 times the wish, then the first in hash order; rows of equal hash are copies.
     scale = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.3 * want / n) * 1_000_000)))])
-    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    sample = rows.select("lang", "text", rank.alias("rank")).filter(F.col("rank") < scale[F.col("lang")])
-    got = sample.select("lang", "rank", packed("text").alias("grams")).limit(2 * want * len(names) + 100).collect()
+    rank_of_hash = F.pmod("h", F.lit(1_000_000))
+    sample = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).withColumn("rank", rank_of_hash)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "h"))
+    sample = sample.filter(F.col("rank") < scale[F.col("lang")]).withColumn("place", place).filter(F.col("place") <= want)
+    got = sample.select("lang", "rank", packed("text").alias("grams")).collect()
     by_lang: dict[str, list[bytes]] = {k: [] for k in names}
     for r in sorted(got, key=lambda r: (r["rank"], r["grams"])):
         if len(by_lang[r["lang"]]) < want:
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, learn, per_lang: int = SAMPLE_PER_LANG, sample_rows: in
 
 
 def classify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """Rows (doc_id, text's language `lang_pred`, `score` from 0 to 1) plus the columns of `docs` except text."""
+    """Rows (doc_id, lang_pred, score): the language of every text and a score from 0 to 1."""
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # landmarks x 4 KB, bounded

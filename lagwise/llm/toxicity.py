@@ -11,7 +11,8 @@ bound; the ids are broadcast) and keeps at most `LEXICON` terms whose associatio
 counts cover all documents.
 
 Defined cases: null and empty texts have no words and get the score of such. Several labels of one id count as the
-lowest; null labels do not count. Without rows of both labels every score is 0. Repeated rows get the same score.
+lowest; null labels do not count. Without rows of both labels every score is 0. Repeated rows get the same score. Very long texts
+are read whole. An empty table gives an empty result. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ MARGIN = 4.0  # a likelihood ratio of 2 log(terms) + MARGIN is reached by chance
 LEAST_LIFT = 1.5  # log-odds
 TRIM = string.punctuation + "…“”„«»¡¿"
 CACHED = 300_000
+MANY_STATES = 60  # below, no time is spent on leaving readings out
 BINS = 200
 MOST_SCORE = 20.0
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*]+[^\W_@$!|]|[ .\-_*]+[@$!|]){2,}(?!\S)|(?<!\S)[@$!|](?:[ .\-_*]+[^\W_@$!|]){2,}(?!\S)")
@@ -93,8 +95,8 @@ def restore(token: str, model: np.ndarray) -> str:
     """The likeliest reading of an obfuscated lower-case token under the model."""
     # A state is the last two symbols and whether the last letter was drawn out; it keeps the best reading.
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    n = len(token)
-    for i, c in enumerate(token):
+    most = -float(model.min())
+    for c in token:
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, 0.0))
@@ -116,8 +118,11 @@ def restore(token: str, model: np.ndarray) -> str:
                     offer((a, b, last), value + cost + COST["repeat"], text)
             if drop is not None:
                 offer((a, b, last), value + drop, text)
-        # Keep what can still win; the model has no more than 28^2 contexts.
-        states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:60]) if len(new) > 60 else new
+        # Keep what can still win: readings of the same rest have the same contexts after three letters at most.
+        if len(new) > MANY_STATES:
+            least = max(value for value, _ in new.values()) - 3 * most
+            new = {key: found for key, found in new.items() if found[0] >= least}
+        states = new
     if not states:
         return token
     return max((value + model[a, b, 0], text) for (a, b, _), (value, text) in states.items())[1]
@@ -201,11 +206,12 @@ def lexicon(docs: DataFrame, marks: DataFrame, model: np.ndarray, learn) -> dict
 
     parts = rows.mapInPandas(count, "label int, term string, n long")
     one = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    counts = cut_lineage(parts.groupBy("term").agg(one(1).alias("n1"), one(0).alias("n0")).filter("n1 > 2"))
+    counts = cut_lineage(parts.groupBy("term").agg(one(1).alias("n1"), one(0).alias("n0")).filter("n1 > 0"))
     total = counts.filter("term = ''").first()
     if total is None or not total["n0"]:
         return {"weights": {}, "scale": None}
-    evidence = 2 * np.log(max(2, counts.count())) + MARGIN
+    # Terms of one or two documents are beside the point of chance: they are too many to be tested one by one.
+    evidence = 2 * np.log(max(2, counts.filter("n1 > 2").count())) + MARGIN
     t1, t0 = float(total["n1"]), float(total["n0"])
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     both = (n1 + n0) / (t1 + t0)

@@ -2,11 +2,13 @@
 
 import pytest
 
+import corpus_pipeline
 from lagwise.llm import bpe, exact, language, mixing, quality, rules, sharding, simhash, substring, toxicity
-from lagwise.llm.catalog import QUERIES
+from lagwise.llm.catalog import QUERIES as OPERATORS
 from lagwise.llm.common import held_out
 from pyspark.sql import functions as F
 
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
 
