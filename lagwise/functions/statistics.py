@@ -24,8 +24,12 @@ def adf_p_value(statistic: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, evaluated by Lentz's method."""
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function, evaluated by Lentz's method.
+
+    It needs in the order of the root of the larger parameter steps; that it has not come to rest is an error.
+    """
+    rounds = 400 + int(20 * math.sqrt(max(a.max(initial=0), b.max(initial=0))))
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
@@ -41,9 +45,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 40
             c = 1.0 + numerator / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             value *= c * d
-        if np.all(np.abs(c * d - 1.0) < 1e-15):
-            break
-    return value
+        if np.all(np.abs(c * d - 1.0) < 1e-14):
+            return value
+    raise ArithmeticError("the continued fraction of the incomplete beta function did not converge")
 
 
 def _log_gamma(v: np.ndarray) -> np.ndarray:
@@ -91,8 +95,8 @@ def residual_path(gram: np.ndarray, target: np.ndarray, total: float) -> np.ndar
     return total - np.concatenate([[0.0], np.cumsum(z**2)])
 
 
-def unit_root_test(values: np.ndarray) -> tuple[float, float, int] | None:
-    """Augmented Dickey–Fuller test with a constant, lag length by AIC: (statistic, p, lags).
+def unit_root_test(values: np.ndarray, lags: int | None = None) -> tuple[float, float, int] | None:
+    """Augmented Dickey–Fuller test with a constant, lag length as given or by AIC: (statistic, p, lags).
 
     Candidate lag lengths are compared on the rows the longest one leaves; the chosen one is
     then fitted on all the rows it has. None when the test cannot be carried out.
@@ -114,13 +118,15 @@ def unit_root_test(values: np.ndarray) -> tuple[float, float, int] | None:
         columns = [np.ones(len(rows)), y[rows]] + [steps[rows - k] for k in range(1, lags + 1)]
         return np.column_stack(columns), steps[rows]
 
-    x, target = design(longest)
-    path = residual_path(x.T @ x, x.T @ target, float(target @ target))
-    if path is None or len(target) <= x.shape[1] or path[-1] <= 0:
-        return None
-    used = np.arange(2, longest + 3)
-    aic = len(target) * np.log(path[2:] / len(target)) + 2.0 * used
-    best = int(np.argmin(aic))
+    best = lags
+    if lags is None:
+        x, target = design(longest)
+        path = residual_path(x.T @ x, x.T @ target, float(target @ target))
+        if path is None or len(target) <= x.shape[1] or path[-1] <= 0:
+            return None
+        used = np.arange(2, longest + 3)
+        aic = len(target) * np.log(path[2:] / len(target)) + 2.0 * used
+        best = int(np.argmin(aic))
     x, target = design(best)
     try:
         inverse = np.linalg.inv(x.T @ x)

@@ -28,20 +28,20 @@ LAG_PREFIX = {"max_temp": "tmax", "precip": "prcp"}
 
 
 def unit_root_tests(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = tuple(SERIES), order: str = "date",
-                    significance: float = SIGNIFICANCE) -> DataFrame:
-    """Augmented Dickey–Fuller test per series and column.
+                    significance: float = SIGNIFICANCE, lags: int | None = None, digits: int = 4) -> DataFrame:
+    """Augmented Dickey–Fuller test per series and column, with a given number of lags or the best by AIC.
 
     A group is one daily series, at most one row per date. A test that cannot be carried out
     counts as not stationary.
     """
-    key_names = list(keys)
+    key_names, fixed = list(keys), lags
     pairs = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns]
     long = df.select(*keys, order, F.inline(F.array(*pairs)))
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        result = unit_root_test(rows.sort_values(order)["value"].to_numpy())
-        statistic, p, lags = result if result else (None, None, 0)
-        outcome = (statistic, p, p is not None and p < significance, lags)
+        result = unit_root_test(rows.sort_values(order)["value"].to_numpy(), fixed)
+        statistic, p, used = result if result else (None, None, 0)
+        outcome = (statistic, p, p is not None and p < significance, used)
         return pd.DataFrame([(*key, *outcome)], columns=[*key_names, "variable", *names])
 
     names = ["adf_stat", "p_value", "is_stationary", "n_lags_used"]
@@ -49,7 +49,7 @@ def unit_root_tests(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     schema = f"{key_types}, variable string, adf_stat double, p_value double, is_stationary boolean, n_lags_used int"
     tested = long.groupBy(*keys, "variable").applyInPandas(test, schema)
     return tested.withColumns({
-        "adf_stat": round_half_even(F.col("adf_stat"), 4), "p_value": round_half_even(F.col("p_value"), 6),
+        "adf_stat": round_half_even(F.col("adf_stat"), digits), "p_value": round_half_even(F.col("p_value"), 6),
     })
 
 

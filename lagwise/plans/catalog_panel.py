@@ -228,21 +228,25 @@ def w1(spark, sf):
     return weather.fill_gaps(b.raw_weather(spark, sf))
 
 
-@query("w1b_interpolate", with_inputs(f"""
-SELECT date, region_id, {stable('''CASE WHEN tmax IS NOT NULL THEN tmax
-         WHEN pd IS NOT NULL AND nd IS NOT NULL THEN pv + (nv - pv) * (date_diff('day', pd, date)::DOUBLE / date_diff('day', pd, nd))
-         ELSE COALESCE(pv, nv) END''', 6)} AS tmax
-FROM (SELECT date, region_id, tmax,
-             last_value(tmax IGNORE NULLS) OVER past AS pv, first_value(tmax IGNORE NULLS) OVER future AS nv,
-             last_value(CASE WHEN tmax IS NOT NULL THEN date END IGNORE NULLS) OVER past AS pd,
-             first_value(CASE WHEN tmax IS NOT NULL THEN date END IGNORE NULLS) OVER future AS nd
-      FROM raw_weather
-      WINDOW past AS (PARTITION BY region_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-             future AS (PARTITION BY region_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-""", "raw_weather"))
+def _interpolated(column: str) -> str:
+    past = "OVER (PARTITION BY region_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    future = "OVER (PARTITION BY region_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    known = f"CASE WHEN {column} IS NOT NULL THEN date END"
+    pv, nv = f"last_value({column} IGNORE NULLS) {past}", f"first_value({column} IGNORE NULLS) {future}"
+    pd, nd = f"last_value({known} IGNORE NULLS) {past}", f"first_value({known} IGNORE NULLS) {future}"
+    line = f"{pv} + ({nv} - {pv}) * (date_diff('day', {pd}, date)::DOUBLE / nullif(date_diff('day', {pd}, {nd}), 0))"
+    return stable(f"""CASE WHEN {column} IS NOT NULL THEN {column}
+        WHEN {pd} IS NOT NULL AND {nd} IS NOT NULL THEN {line} ELSE COALESCE({pv}, {nv}) END""", 6) + f" AS {column}"
+
+
+_WEATHER_COLUMNS = ["tmax", "tmin", "tavg", "prcp", "snow", "awnd"]
+
+
+@query("w1b_interpolate", with_inputs(
+    f"SELECT date, region_id, {', '.join(map(_interpolated, _WEATHER_COLUMNS))} FROM raw_weather", "raw_weather"))
 def w1b(spark, sf):
-    filled = weather.interpolate_gaps(b.raw_weather(spark, sf), ["tmax"])
-    return filled.select("date", "region_id", ex.round_stable(F.col("tmax"), 6).alias("tmax"))
+    filled = weather.interpolate_gaps(b.raw_weather(spark, sf), _WEATHER_COLUMNS)
+    return filled.select("date", "region_id", *[ex.round_stable(F.col(c), 6).alias(c) for c in _WEATHER_COLUMNS])
 
 
 @query("p21_missing_report", with_inputs(
@@ -430,15 +434,18 @@ def w6(spark, sf):
     return lagged.select("date", "region_id", "need_type", *[c for c in lagged.columns if "_lag_" in c])
 
 
-@query("w6_lag_features_by_calendar", with_inputs("""
-SELECT n.date, n.region_id, n.need_type, a.target_count AS target_lag_1, c.target_count AS target_lag_7
-FROM joined_panel n
-LEFT JOIN joined_panel a ON a.date = n.date - 1 AND a.region_id = n.region_id AND a.need_type = n.need_type
-LEFT JOIN joined_panel c ON c.date = n.date - 7 AND c.region_id = n.region_id AND c.need_type = n.need_type
-""", "joined_panel"))
+_CALENDAR_LAGS = {f"{p}_lag_{k}": (c, k) for p, c, ks in (
+    ("tmax", "max_temp", (1, 3, 7, 14, 30)), ("prcp", "precip", (1, 3, 7, 14, 30)), ("target", "target_count", (1, 7))) for k in ks}
+
+
+@query("w6_lag_features_by_calendar", with_inputs(
+    "SELECT n.date, n.region_id, n.need_type, " + ", ".join(f"p{k}.{c} AS {name}" for name, (c, k) in _CALENDAR_LAGS.items())
+    + " FROM joined_panel n " + " ".join(
+        f"LEFT JOIN joined_panel p{k} ON p{k}.date = n.date - {k} AND p{k}.region_id = n.region_id AND p{k}.need_type = n.need_type"
+        for k in (1, 3, 7, 14, 30)), "joined_panel"))
 def w6_calendar(spark, sf):
     lagged = fx.add_lag_features(b.joined_panel(spark, sf), calendar=True)
-    return lagged.select("date", "region_id", "need_type", "target_lag_1", "target_lag_7")
+    return lagged.select("date", "region_id", "need_type", *_CALENDAR_LAGS)
 
 
 @query("w7_rolling_features", with_inputs("""

@@ -412,6 +412,36 @@ def g1(spark, sf):
     return causality.unit_root_tests(_tested_panel(spark, sf), ["target_count", "max_temp", "precip"])
 
 
+_STEPS = " UNION ALL ".join(
+    f"""SELECT region_id, need_type, '{name}' AS variable, {column} - lag({column}) OVER w AS step, lag({column}) OVER w AS before,
+        COUNT(*) OVER (PARTITION BY region_id, need_type) AS n FROM tested WHERE {column} IS NOT NULL
+        WINDOW w AS (PARTITION BY region_id, need_type ORDER BY date)"""
+    for name, column in (("target_count", "y"), ("max_temp", "max_temp"), ("precip", "precip")))
+
+
+@query("g1_unit_root_no_lags", with_inputs(f"""
+SELECT region_id, need_type, variable, {stable('slope / sqrt((syy - slope * slope * sxx) / (m - 2) / sxx)', 3)} AS adf_stat FROM (
+  SELECT region_id, need_type, variable, regr_slope(step, before) AS slope, regr_sxx(step, before) AS sxx,
+         regr_syy(step, before) AS syy, regr_count(step, before) AS m
+  FROM steps WHERE n >= 4 GROUP BY ALL) WHERE sxx > 0 AND syy > 0 AND m > 2
+""", "feature_matrix", "weather_daily", tested=_TESTED, steps=_STEPS))
+def g1_plain(spark, sf):
+    tested = causality.unit_root_tests(_tested_panel(spark, sf), ["target_count", "max_temp", "precip"], lags=0, digits=12)
+    return tested.filter("adf_stat IS NOT NULL").select(
+        "region_id", "need_type", "variable", ex.round_stable(F.col("adf_stat"), 3).alias("adf_stat"))
+
+
+@query("g2_pairs_as_they_are", with_inputs("""
+SELECT region_id, need_type, feature_name, date, y, x FROM (
+  SELECT region_id, need_type, date, y, COUNT(*) OVER (PARTITION BY region_id, need_type) AS n,
+         unnest(['max_temp', 'precip']) AS feature_name, unnest([max_temp, precip]) AS x
+  FROM (SELECT * FROM tested))
+WHERE n >= 50 AND y IS NOT NULL AND x IS NOT NULL
+""", "feature_matrix", "weather_daily", tested=_TESTED))
+def g2_plain(spark, sf):
+    return causality.stationary_pairs(_tested_panel(spark, sf), make_stationary=False, min_rows=25)
+
+
 @query("g2_stationary_pairs")
 def g2(spark, sf):
     return causality.stationary_pairs(_tested_panel(spark, sf), min_rows=causality.MAX_LAG + 10)
@@ -645,6 +675,13 @@ def e3(spark, sf):
     return _reports(spark, sf).drop("per_split_rmse")
 
 
+@query("e3_rmse_per_split", with_inputs("""
+SELECT model_type, CAST(row_number() OVER (PARTITION BY model_type ORDER BY split_index) - 1 AS INTEGER) AS place, rmse FROM scores
+""", "predictions", scores=_METRICS))
+def e3_splits(spark, sf):
+    return _reports(spark, sf).select("model_type", F.posexplode("per_split_rmse").alias("place", "rmse"))
+
+
 @query("e8_stability_rating", with_inputs("""
 SELECT model_type, CASE WHEN cv < 0.25 THEN 'High' WHEN cv < 0.4 THEN 'Medium' ELSE 'Low' END AS stability
 FROM (SELECT model_type, std_rmse / mean_rmse AS cv FROM reports)

@@ -15,8 +15,6 @@ def _schema(required: dict, optional: dict) -> T.StructType:
 # Column names of the stored tables and of the referral feed.
 WEATHER_VALUES = ["tmax", "tmin", "tavg", "prcp", "snow", "awnd"]
 EVENT_FLAGS = ["heatwave_flag", "coldwave_flag", "heavy_rain_flag"]
-NEED_STATUSES = ["Confirmed", "Unconfirmed", "Unmet", "InProcess", "YetToStart"]
-SEASONS = ["winter", "spring", "summer", "fall"]
 WEATHER_LAGS = [1, 3, 7, 14, 30]
 TARGET_LAGS = [1, 7]
 
@@ -47,14 +45,6 @@ REFERRAL_OTHER = [
     "Age", "RISK_SCORE", "DAYS_TO_CONFIRM",
 ]
 
-REGION_LOOKUP = _schema(
-    {"region_id": _S, "state": _S},
-    {"zipcode": _S, "county_fips": _S, "county_name": _S, "city": _S},
-)
-RAW_WEATHER = _schema(
-    {"date": T.DateType(), "region_id": _S},
-    {"station_id": _S, **{c: _D for c in WEATHER_VALUES}, "source": _S},
-)
 WEATHER_DAILY = _schema(
     {"date": T.DateType(), "region_id": _S},
     {
@@ -118,12 +108,3 @@ CAUSAL_RESULTS = _schema(
     {"experiment_id": _S, "feature_name": _S, "lag": _I},
     {"p_value": _D, "f_statistic": _D, "effect_strength": _D, "significant_flag": _I, "need_type": _S, "region_id": _S},
 )
-TABLES = {
-    "region_lookup": REGION_LOOKUP,
-    "raw_weather_daily": RAW_WEATHER,
-    "weather_daily_agg": WEATHER_DAILY,
-    "social_needs_daily_agg": NEEDS_DAILY,
-    "experiments": EXPERIMENTS,
-    "metrics": METRICS,
-    "causal_results": CAUSAL_RESULTS,
-}
