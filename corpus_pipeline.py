@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, byte-level BPE.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's documents. All but the last return the columns of `documents`.
+Parquet and read again as the next stage's documents. All but the last return the columns of `documents`, whatever they are.
+
+Defined cases: rows with a null or empty text fail the quality rules and go; so do texts of fewer than ten words. A null id or
+source is kept; the largest id stays of equal texts and the smallest of near ones, where a null counts as no id. Repeated rows become
+one in the second stage. Very long texts are read whole by all stages. An empty table gives an empty result.
 """
 
 from __future__ import annotations

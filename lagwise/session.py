@@ -9,6 +9,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: list[tempfile.TemporaryDirectory] = []
+
+
 def build_session(master: str = "local[*]", app: str = "lagwise", **conf: str) -> SparkSession:
     """A session with the settings the operators assume; `conf` keys use `__` for dots."""
     builder = (
@@ -27,7 +30,7 @@ def build_session(master: str = "local[*]", app: str = "lagwise", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes when the process ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -35,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master.startswith("local-cluster") or not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="lagwise-")
+    if not _OWN_FOLDERS:
+        _OWN_FOLDERS.append(tempfile.TemporaryDirectory(prefix="lagwise-", ignore_cleanup_errors=True))
+    return _OWN_FOLDERS[0].name
 
 
 def scratch(spark: SparkSession, name: str) -> str:

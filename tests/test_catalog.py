@@ -28,4 +28,4 @@ def test_entry_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     assert oracle.difference(contract.queries()[name](spark, SF), duck, ORACLES[name]) is None
-    assert name in MAY_BE_EMPTY or duck.sql(f"SELECT count(*) FROM ({ORACLES[name]})").fetchone()[0] > 0
+    assert name in MAY_BE_EMPTY or duck.execute(ORACLES[name]).fetchone() is not None
