@@ -59,12 +59,12 @@ def groups(docs: DataFrame, into: str, capacity: int = CAPACITY) -> DataFrame:
     """`docs` with a column `into` of (digest, keep_id, group_size, kept); one row for every row of the input."""
     digests = docs.select(digest_of().alias("d"), F.col("doc_id").alias("id"))
     heavy = digests.sparkSession.createDataFrame([(d,) for d in frequent(digests.select("d"), capacity)], "w string")
-    # Exact sizes of the few named digests: rows that need no shuffle are reduced where they lie.
-    sizes = digests.join(F.broadcast(heavy), F.col("d") == F.col("w"), "left_semi").groupBy("d", "id").count()
-    winners = sizes.groupBy("d").agg(
-        F.max("id").alias("keep_id"), F.sum("count").alias("group_size"), F.max_by("count", F.struct(F.col("id").isNotNull(), "id")).alias("ties"),
-    )
-    winners = winners.filter(F.col("group_size") > 1).select(F.col("d").alias("w"), F.struct("keep_id", "group_size", "ties").alias("won"))
+    # Exact sizes of the few named digests: one row per digest and task is shuffled. Then how often the winner's id occurs.
+    named = digests.join(F.broadcast(heavy), F.col("d") == F.col("w")).groupBy("w").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    named = named.filter("group_size > 1")
+    tops = digests.join(F.broadcast(named), (F.col("d") == F.col("w")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    winners = tops.groupBy("w").agg(F.struct(
+        F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count("*").alias("ties")).alias("won"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest_of().alias("d"))
     split = held.join(F.broadcast(winners), F.col("d") == F.col("w"), "left").drop("w")
 
