@@ -1,18 +1,20 @@
 """Substring dedup by level-wise doubling.
 
-A window is a run of `length` words. Windows are compared at half the length first; those that repeat in another
-document, and only those, are extended to twice their length and compared again, up to `length`. At the first level a
-window of full length is represented by the half window of the lowest hash in it: equal windows choose the same one,
-so none is missed, while about one position in thirteen is sent.
+A window is a run of `length` words. The levels are its length halved (rounded up) until at most `SHORTEST` words are left,
+50, 25, 13, 7, and are worked through from the shortest. At the first level a window is represented by the block of the lowest hash in it:
+equal windows choose the same one, so none is missed, while about one position in twenty is sent. Blocks that repeat in another
+document, and only those, are extended to the next length, forwards or, where the window has no room, backwards; at the last
+level the block is the window. The loop ends at `length`, or earlier when no candidate survives. A word is removed by the last level alone.
 
 Each level is one exchange. A chunk of documents sends every distinct candidate once, as a 64-bit hash with a 32-bit
-check (at full length both halves go into them) and the lowest and highest doc_id that has it in the chunk; candidates
-are split into buckets by hash. The lowest id over all chunks goes back to chunks where a higher one has the candidate. A passage that
-a third of all documents share is thus one value per chunk.
+check, both of the two halves' hashes, and the lowest and highest doc_id that has it in the chunk; candidates
+are split into buckets by hash, one for every `BUCKET_CHARS` of text at least, so a bucket does not grow with the corpus. The lowest id
+over all chunks goes back to chunks where a higher one has the candidate. A passage that a third of all documents share is thus one value
+per chunk. Chunks are cut, tokenised and stored once, and what survives a level is stored too.
 
 A word is removed when a window over it also starts in a document with a smaller doc_id. Defined cases: a null text has
 no words; a null id counts as larger than every other, and rows without id do not remove each other's words; nor do rows with the
-same id. An empty table gives an empty result. Other columns are not carried.
+same id. An empty table gives an empty result. Very long texts are read whole; a chunk holds at least one. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,9 +29,12 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.chunks import chunks, pack, unpack
 from lagwise.llm.common import bounded_batches, documents, words
+from lagwise.session import cut_lineage
 
 LENGTH = 50
+SHORTEST = 7
 BUCKETS_PER_PARTITION = 2
+BUCKET_CHARS = 8_000_000
 NO_ID = np.iinfo(np.int64).max
 R = 0x9FB21C651E98DF25
 _POWERS: list[np.ndarray] = []
@@ -69,40 +74,66 @@ def _lowest(values: np.ndarray, span: int) -> np.ndarray:
     return join(low, place, span - width)[1] if span > width else place
 
 
+def levels(length: int) -> list[int]:
+    """Block lengths from the shortest to `length`; each is at most twice the one before."""
+    sizes = [length]
+    while sizes[-1] > SHORTEST:
+        sizes.append((sizes[-1] + 1) // 2)
+    return sizes[::-1]
+
+
+def tokenised(ids: list, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, words per document, the words as numbers, and the hash of every distinct word."""
+    tokens = [words(t) for t in texts]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    seen: dict[bytes, int] = {}
+    order = np.fromiter((seen.setdefault(w, len(seen)) for d in tokens for w in d), np.int32, int(sizes.sum()))
+    return [None if i is None or i != i else int(i) for i in ids], sizes, order, np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
+
+
 class Chunk:
-    """Word hashes of a chunk's documents, and the candidates of both levels."""
-
-    def __init__(self, ids: list, texts: list[str], length: int):
-        self.ids = [None if i is None or i != i else int(i) for i in ids]
-        self.length, self.half = length, length // 2
-        self.words = [words(t) for t in texts]
-        seen: dict[bytes, int] = {}
-        order = np.fromiter((seen.setdefault(w, len(seen)) for d in self.words for w in d), np.int64, sum(map(len, self.words)))
-        table = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        flow = table[order] if len(table) else np.empty(0, np.uint64)
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+    """Word hashes of a chunk's documents, its windows, and the block that stands for a window at each level."""
+
+    def __init__(self, ids: list, sizes: np.ndarray, order: np.ndarray, table: np.ndarray, length: int):
+        self.ids, self.sizes, self.first = ids, sizes, np.cumsum(sizes) - sizes
+        self.flow = table[order] if len(table) else np.empty(0, np.uint64)
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.id_of = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
-        n = len(flow) - length + 1
-        self.halves = _windows(flow, self.half)
+        self.id_of = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        self.length, self.known = length, {}
+        self.levels = levels(length)
+        n = len(self.flow) - length + 1
+        if n < 1:
+            self.inside = self.anchor = np.empty(0, np.int64)
+            return
         # Starts of windows that lie inside one document.
-        self.inside = np.flatnonzero(self.owner[: max(0, n)] == self.owner[length - 1 :]) if n > 0 else np.empty(0, np.int64)
-        self.chosen = _lowest(self.halves, length - self.half + 1)[self.inside] if n > 0 else self.inside
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, check and id of the representatives of all windows."""
-        at = np.unique(self.chosen)
-        key = self.halves[at]
-        return key, (_mix(key ^ np.uint64(R)) >> np.uint64(32)).astype(np.uint32), self.id_of[self.owner[at]]
-
-    def extended(self, repeated: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, key, check and id of the windows whose representative is among the repeated keys (None: of all)."""
-        at = self.inside if repeated is None else self.inside[np.isin(self.halves[self.chosen], repeated)]
-        left, right = self.halves[at], self.halves[at + self.length - self.half]
+        self.inside = np.flatnonzero(self.owner[:n] == self.owner[length - 1 :])
+        shortest = self.levels[0]
+        key, _ = self.marks(shortest, np.arange(len(self.flow) - shortest + 1))
+        self.anchor = _lowest(key, length - shortest + 1)[self.inside]
+
+    def marks(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key and check of the blocks of `size` words that start at these places."""
+        half = (size + 1) // 2
+        if half not in self.known:
+            self.known[half] = _windows(self.flow, half)
+        left, right = self.known[half][at], self.known[half][at + size - half]
         key = _mix(left * np.uint64(R) + right)
-        check = (_mix(right * np.uint64(0xC2B2AE3D27D4EB4F) + (left ^ (left >> np.uint64(17)))) >> np.uint64(32)).astype(np.uint32)
-        return at, key, check, self.id_of[self.owner[at]]
+        return key, (_mix(right * np.uint64(0xC2B2AE3D27D4EB4F) + (left ^ (left >> np.uint64(17)))) >> np.uint64(32)).astype(np.uint32)
+
+    def blocks(self, size: int) -> np.ndarray:
+        """Where the block of this level starts, per window: at the anchor, or so that it ends with the anchor."""
+        if size == self.length:
+            return self.inside
+        room = self.length - self.levels[-2]
+        return np.where(self.anchor - self.inside <= room, self.anchor, self.anchor + self.levels[0] - size)
+
+    def candidates(self, size: int, before: int | None = None, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, check and id of this level's blocks; of windows whose block of the level before is among the repeated keys."""
+        at = self.blocks(size)
+        if before is not None and len(at):
+            at = at[np.isin(self.marks(before, self.blocks(before))[0], repeated)]
+        at = np.unique(at)
+        return *self.marks(size, at), self.id_of[self.owner[at]]
 
     def spans(self, starts: np.ndarray) -> list[list[tuple[int, int]]]:
         """Per document the merged runs [first, last) of words covered by windows at these starts."""
@@ -133,11 +164,11 @@ SENT = "chunk string, bucket int, data binary"
 def _sent(name: str, key: np.ndarray, check: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
     key, check, low, high = _candidates(key, check, ids)
     # Buckets are ranges of the hash, so each is a slice of the sorted keys.
-    cuts = np.searchsorted(key, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
-    edges = np.concatenate([[0], cuts, [len(key)]]).astype(np.int64)
-    full = np.flatnonzero(edges[1:] > edges[:-1])
-    data = [pack(key[a:b], check[a:b], low[a:b], (high - low)[a:b]) for a, b in zip(edges[full].tolist(), edges[full + 1].tolist())]
-    return pd.DataFrame({"chunk": name, "bucket": full.astype(np.int32), "data": data}, columns=["chunk", "bucket", "data"])
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.empty(0, np.int64)
+    edges = [*first.tolist(), len(key)]
+    data = [pack(key[a:b], check[a:b], low[a:b], (high - low)[a:b]) for a, b in zip(edges, edges[1:])]
+    return pd.DataFrame({"chunk": name, "bucket": bucket[first], "data": data}, columns=["chunk", "bucket", "data"])
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,42 +199,57 @@ def _found(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _exchange(sent: DataFrame) -> DataFrame:
-    return sent.groupBy("bucket").applyInPandas(_compare, "chunk string, data binary")
+    return cut_lineage(sent.groupBy("bucket").applyInPandas(_compare, "chunk string, data binary"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows (doc_id, n_words, spans, kept): the runs of words to remove, and the other words joined by one space."""
-    if length < 2 or length % 2:
-        raise ValueError("length must be even")
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def store(docs: DataFrame) -> DataFrame:
+    """Rows (chunk, chars, flow, texts), dealt by chunk and stored, so that no later step moves or cuts them again."""
 
-    def half_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, texts in chunks(batches):
-            sent = _sent(name, *Chunk(ids, texts, length).anchors(), buckets)
-            if len(sent):
-                yield sent
+            yield pd.DataFrame({"chunk": [name], "chars": sum(map(len, texts)), "flow": [pack(*tokenised(ids, texts))], "texts": [pack(texts)]})
 
-    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, ids, texts in chunks(batches):
-            yield pd.DataFrame({"chunk": [name], "texts": [pack(list(ids), texts)]})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "chunk string, chars long, flow binary, texts binary")
+    return cut_lineage(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"))
 
-    def full_level(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(found):
-            return pd.DataFrame(columns=["chunk", "bucket", "data"])
-        _, key, check, ids = Chunk(*unpack(held["texts"].iloc[0]), length).extended(np.unique(_found(found)[0]))
-        return _sent(held["chunk"].iloc[0], key, check, ids, buckets)
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Rows (doc_id, n_words, spans, kept): the runs of words to remove, and the other words joined by one space."""
+    if length < 1:
+        raise ValueError("length must be positive")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    held = store(docs)
+    chars = held.agg(F.sum("chars")).first()[0] or 0
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
+    flows = held.select("chunk", "flow")
+
+    def first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, flow in zip(batch["chunk"], batch["flow"]):
+                sent = _sent(name, *Chunk(*unpack(flow), length).candidates(levels(length)[0]), buckets)
+                if len(sent):
+                    yield sent
+
+    def next_level(before: int, size: int):
+        def extend(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(found):
+                return pd.DataFrame(columns=["chunk", "bucket", "data"])
+            got = Chunk(*unpack(held["flow"].iloc[0]), length).candidates(size, before, np.unique(_found(found)[0]))
+            return _sent(held["chunk"].iloc[0], *got, buckets)
+
+        return extend
 
     def remove(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(*unpack(held["texts"].iloc[0]), length)
+        chunk = Chunk(*unpack(held["flow"].iloc[0]), length)
         starts = np.empty(0, np.int64)
         if len(found):
             known, marks, least = _found(found)
             order = np.lexsort((marks, known))
             known, marks, least = known[order], marks[order], least[order]
-            at, key, check, ids = chunk.extended(None)
+            at = chunk.inside
+            key, check = chunk.marks(length, at)
+            ids = chunk.id_of[chunk.owner[at]]
             left = np.searchsorted(known, key)
             hit = np.zeros(len(key), bool)
             for k in range(int(np.unique(known, return_counts=True)[1].max())):  # checks per key, one as a rule
@@ -211,17 +257,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 hit |= (known[place] == key) & (marks[place] == check) & (least[place] < ids)
             starts = at[hit]
         spans, kept = chunk.spans(starts), []
-        for tokens, runs in zip(chunk.words, spans):
+        for text, runs in zip(unpack(held["texts"].iloc[0])[0], spans):
+            tokens = words(text)
             for a, b in reversed(runs):
                 tokens = tokens[:a] + tokens[b:]
             kept.append(b" ".join(tokens).decode("utf-8", "surrogatepass"))
         runs = [[{"first": a, "last": b} for a, b in s] for s in spans]
         return pd.DataFrame({"doc_id": pd.array(chunk.ids, "Int64"), "n_words": chunk.sizes, "spans": runs, "kept": kept})
 
-    held = rows.mapInPandas(stored, "chunk string, texts binary")
-    halves = _exchange(rows.mapInPandas(half_level, SENT))
-    full = _exchange(held.groupBy("chunk").cogroup(halves.groupBy("chunk")).applyInPandas(full_level, SENT))
-    return held.groupBy("chunk").cogroup(full.groupBy("chunk")).applyInPandas(
+    sizes = levels(length)
+    found = _exchange(flows.mapInPandas(first_level, SENT))
+    for before, size in zip(sizes, sizes[1:]):
+        if found.isEmpty():
+            break
+        found = _exchange(flows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(next_level(before, size), SENT))
+    return held.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(
         remove, "doc_id long, n_words long, spans array<struct<first: long, last: long>>, kept string",
     )
 

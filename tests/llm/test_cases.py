@@ -73,6 +73,6 @@ def test_long_text_is_read_whole(prose):
     assert rules.measure(long)[0] == 36_000 and rules.measure(long)[4] == 36_000
     assert simhash.fingerprint(long) != simhash.fingerprint(long[:200])
     assert len(bpe.sequence([long], 4)[2]) == 36_000
-    assert len(substring.Chunk([1], [long], 50).inside) == 36_000 - 49
+    assert len(substring.Chunk(*substring.tokenised([1], [long]), 50).inside) == 36_000 - 49
     assert sharding.place({5: 7}, 3)[5][0][0] == 0
     assert toxicity.readings(None, None, {}) == set() and quality.statistics(None).shape == (15,)

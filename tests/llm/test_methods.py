@@ -104,7 +104,8 @@ def test_substring_equals_brute_force(spark, texts, prose):
         docs.append((10_000 + i, " ".join(words[:at] + passage[cut : cut + rng.choice([48, 49, 50, 51, 70])] + words[at:])))
         docs.append((20_000 + i, " ".join([rng.choice(["x", "y"])] * rng.randint(40, 120))))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for length in (50, 10):
+    assert substring.levels(50) == [7, 13, 25, 50] and substring.levels(5) == [5]
+    for length in (50, 10, 31, 4):
         got = {r["doc_id"]: r["kept"] for r in substring.repeated_spans(frame, length).collect()}
         assert got == brute_spans(docs, length)
 
