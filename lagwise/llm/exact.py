@@ -3,7 +3,8 @@
 Misra-Gries counters per partition, merged, name every digest that more than one row in `CAPACITY` has. Their
 exact sizes and winners are aggregated and broadcast (at most `CAPACITY` rows), so their copies are decided where
 they lie and never shuffled by digest. All other digests are shuffled; none of them holds more than a
-`CAPACITY`-th of the rows.
+`CAPACITY`-th of the rows. Groups are decided on (digest, id) alone, and the verdict is joined to the rows: no text lies in a window,
+and `dedup` deals rows by digest and id, so even a large group is spread over all tasks.
 
 Of equal texts the row with the largest doc_id stays; null ids come last. Defined cases: a null text equals an
 empty one. Of rows that share the winning id, one stays. An empty table gives an empty result. Other columns are
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagwise.llm.common import documents, free_name
+from lagwise.llm.common import documents
 
 CAPACITY = 256
 
@@ -55,39 +56,56 @@ def first_of_ties(rows: DataFrame, digest: str, mark: str) -> DataFrame:
     return first.unionByName(rows.filter(F.col(local) > 1).withColumn(mark, F.lit(False))).drop(part, local)
 
 
-def groups(docs: DataFrame, into: str, capacity: int = CAPACITY) -> DataFrame:
-    """`docs` with a column `into` of (digest, keep_id, group_size, kept); one row for every row of the input."""
+def winners(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """Rows (w, keep_id, group_size, ties) per digest: of the heavy digests, and of all others.
+
+    `ties` counts the rows that share the winning id.
+    """
     digests = docs.select(digest_of().alias("d"), F.col("doc_id").alias("id"))
     heavy = digests.sparkSession.createDataFrame([(d,) for d in frequent(digests.select("d"), capacity)], "w string")
     # Exact sizes of the few named digests: one row per digest and task is shuffled. Then how often the winner's id occurs.
     named = digests.join(F.broadcast(heavy), F.col("d") == F.col("w")).groupBy("w").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     named = named.filter("group_size > 1")
     tops = digests.join(F.broadcast(named), (F.col("d") == F.col("w")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    winners = tops.groupBy("w").agg(F.struct(
-        F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count("*").alias("ties")).alias("won"))
+    large = tops.groupBy("w").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.count("*").alias("ties"))
+    # The others are dealt by digest once, which serves both aggregations.
+    others = digests.join(F.broadcast(named.select("w")), F.col("d") == F.col("w"), "left_anti").repartition("d")
+    small = others.groupBy("d", "id").count().groupBy(F.col("d").alias("w")).agg(
+        F.max("id").alias("keep_id"), F.sum("count").alias("group_size"), F.coalesce(F.max_by("count", "id"), F.sum("count")).alias("ties"))
+    return large, small
+
+
+def _held(docs: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows (row, id, d) of `docs`, with the verdict on heavy digests, of others null."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest_of().alias("d"))
-    split = held.join(F.broadcast(winners), F.col("d") == F.col("w"), "left").drop("w")
+    return held.join(F.broadcast(large), F.col("d") == F.col("w"), "left").drop("w")
 
-    best = F.col("id").eqNullSafe(F.col("won.keep_id"))
-    out = lambda keep, size, kept: F.struct(F.col("d").alias("digest"), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"))
-    alone = out(F.col("won.keep_id"), F.col("won.group_size"), best)
-    heavy_rows = split.filter(F.col("won").isNotNull() & ~(best & (F.col("won.ties") > 1))).select("row", alone.alias(into))
-    tied = first_of_ties(split.filter(F.col("won").isNotNull() & best & (F.col("won.ties") > 1)), "d", "first")
-    tied = tied.select("row", out(F.col("won.keep_id"), F.col("won.group_size"), F.col("first")).alias(into))
 
-    same = Window.partitionBy("d")
-    light = split.filter(F.col("won").isNull()).select(
-        "row", "d", F.max("id").over(same).alias("keep"), F.count(F.lit(1)).over(same).alias("size"),
-        F.row_number().over(same.orderBy(F.col("id").desc_nulls_last())).alias("place"),
-    )
-    light = light.select("row", out(F.col("keep"), F.col("size"), F.col("place") == 1).alias(into))
-    return heavy_rows.unionByName(tied).unionByName(light).select("row.*", into)
+def groups(docs: DataFrame, into: str, capacity: int = CAPACITY) -> DataFrame:
+    """`docs` with a column `into` of (digest, keep_id, group_size, kept); one row for every row of the input."""
+    large, small = winners(docs, capacity)
+    split = _held(docs, large)
+    light = split.filter("ties is null").select("row", "id", "d").join(small, F.col("d") == F.col("w")).drop("w")
+    rows = split.filter("ties is not null").unionByName(light)
+    best = F.col("id").eqNullSafe(F.col("keep_id"))
+    out = lambda kept: F.struct(F.col("d").alias("digest"), "keep_id", "group_size", kept.alias("kept")).alias(into)
+    tied = best & (F.col("ties") > 1)
+    first = first_of_ties(rows.filter(tied), "d", "first")
+    return rows.filter(~tied).select("row", out(best)).unionByName(first.select("row", out(F.col("first")))).select("row.*", into)
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row of each group of equal texts, with the columns of `docs`."""
-    name = free_name(docs, "group")
-    return groups(docs, name, capacity).filter(F.col(f"{name}.kept")).drop(name)
+    """One row of each group of equal texts, with the columns of `docs`.
+
+    Losers of heavy digests go where they lie. Other rows are matched with the winners by digest and id.
+    """
+    large, small = winners(docs, capacity)
+    split = _held(docs, large)
+    best = F.col("id").eqNullSafe(F.col("keep_id"))
+    light = split.filter("ties is null").select("row", "id", "d").join(small, (F.col("d") == F.col("w")) & best).drop("w")
+    rows = split.filter(F.col("ties").isNotNull() & best).unionByName(light)
+    tied = first_of_ties(rows.filter("ties > 1"), "d", "first").filter("first")
+    return rows.filter("ties = 1").select("row.*").unionByName(tied.select("row.*"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
