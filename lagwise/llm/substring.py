@@ -4,13 +4,13 @@ A window is a run of `length` words. The levels are its length halved (rounded u
 50, 25, 13, 7, and are worked through from the shortest. At the first level a window is represented by the block of the lowest hash in it:
 equal windows choose the same one, so none is missed, while about one position in twenty is sent. Blocks that repeat in another
 document, and only those, are extended to the next length, forwards or, where the window has no room, backwards; at the last
-level the block is the window. The loop ends at `length`, or earlier when no candidate survives. A word is removed by the last level alone.
+level the block is the window. A level that nothing reaches sends nothing. A word is removed by the last level alone.
 
 Each level is one exchange. A chunk of documents sends every distinct candidate once, as a 64-bit hash with a 32-bit
 check, both of the two halves' hashes, and the lowest and highest doc_id that has it in the chunk; candidates
-are split into buckets by hash, one for every `BUCKET_CHARS` of text at least, so a bucket does not grow with the corpus. The lowest id
+are split into buckets by hash, one for every `BUCKET_BYTES` of text at least, so a bucket does not grow with the corpus. The lowest id
 over all chunks goes back to chunks where a higher one has the candidate. A passage that a third of all documents share is thus one value
-per chunk. Chunks are cut, tokenised and stored once, and what survives a level is stored too.
+per chunk. Chunks are cut and tokenised once, as numbers of words and the distinct words; all levels read the one shuffle that deals them.
 
 A word is removed when a window over it also starts in a document with a smaller doc_id. Defined cases: a null text has
 no words; a null id counts as larger than every other, and rows without id do not remove each other's words; nor do rows with the
@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from lagwise.llm.chunks import chunks, pack, unpack
 from lagwise.llm.common import bounded_batches, documents, words
-from lagwise.session import cut_lineage
 
 LENGTH = 50
 SHORTEST = 7
 BUCKETS_PER_PARTITION = 2
-BUCKET_CHARS = 8_000_000
+BUCKET_BYTES = 8_000_000
 NO_ID = np.iinfo(np.int64).max
 R = 0x9FB21C651E98DF25
 _POWERS: list[np.ndarray] = []
@@ -82,21 +81,23 @@ def levels(length: int) -> list[int]:
     return sizes[::-1]
 
 
-def tokenised(ids: list, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, words per document, the words as numbers, and the hash of every distinct word."""
+def tokenised(ids: list, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, bytes]:
+    """Ids, words per document, the number of every word (its four bytes apart, which packs better), and the distinct words."""
     tokens = [words(t) for t in texts]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     seen: dict[bytes, int] = {}
-    order = np.fromiter((seen.setdefault(w, len(seen)) for d in tokens for w in d), np.int32, int(sizes.sum()))
-    return [None if i is None or i != i else int(i) for i in ids], sizes, order, np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
+    order = np.fromiter((seen.setdefault(w, len(seen)) for d in tokens for w in d), "<i4", int(sizes.sum()))
+    return [None if i is None or i != i else int(i) for i in ids], sizes, np.ascontiguousarray(order.view(np.uint8).reshape(-1, 4).T), b" ".join(seen)
 
 
 class Chunk:
-    """Word hashes of a chunk's documents, its windows, and the block that stands for a window at each level."""
+    """Words and word hashes of a chunk's documents, its windows, and the block that stands for a window at each level."""
 
-    def __init__(self, ids: list, sizes: np.ndarray, order: np.ndarray, table: np.ndarray, length: int):
+    def __init__(self, ids: list, sizes: np.ndarray, numbers: np.ndarray, distinct: bytes, length: int):
         self.ids, self.sizes, self.first = ids, sizes, np.cumsum(sizes) - sizes
-        self.flow = table[order] if len(table) else np.empty(0, np.uint64)
+        self.order, self.distinct = np.ascontiguousarray(numbers.T).view("<i4").ravel(), distinct.split()
+        table = np.fromiter(map(xxhash.xxh64_intdigest, self.distinct), np.uint64, len(self.distinct))
+        self.flow = table[self.order] if len(table) else np.empty(0, np.uint64)
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.id_of = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.length, self.known = length, {}
@@ -135,6 +136,16 @@ class Chunk:
         at = np.unique(at)
         return *self.marks(size, at), self.id_of[self.owner[at]]
 
+    def texts(self, spans: list[list[tuple[int, int]]]) -> list[str]:
+        """The words of every document outside its runs, joined by one space."""
+        out = []
+        for a, n, runs in zip(self.first.tolist(), self.sizes.tolist(), spans):
+            left = [self.distinct[k] for k in self.order[a : a + n].tolist()]
+            for first, last in reversed(runs):
+                del left[first:last]
+            out.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+        return out
+
     def spans(self, starts: np.ndarray) -> list[list[tuple[int, int]]]:
         """Per document the merged runs [first, last) of words covered by windows at these starts."""
         edge = np.zeros(len(self.owner) + 1, np.int64)
@@ -199,18 +210,7 @@ def _found(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _exchange(sent: DataFrame) -> DataFrame:
-    return cut_lineage(sent.groupBy("bucket").applyInPandas(_compare, "chunk string, data binary"))
-
-
-def store(docs: DataFrame) -> DataFrame:
-    """Rows (chunk, chars, flow, texts), dealt by chunk and stored, so that no later step moves or cuts them again."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, ids, texts in chunks(batches):
-            yield pd.DataFrame({"chunk": [name], "chars": sum(map(len, texts)), "flow": [pack(*tokenised(ids, texts))], "texts": [pack(texts)]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "chunk string, chars long, flow binary, texts binary")
-    return cut_lineage(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"))
+    return sent.groupBy("bucket").applyInPandas(_compare, "chunk string, data binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -219,29 +219,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("length must be positive")
     spark = docs.sparkSession
     bounded_batches(spark)
-    held = store(docs)
-    chars = held.agg(F.sum("chars")).first()[0] or 0
-    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
-    flows = held.select("chunk", "flow")
-
-    def first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, flow in zip(batch["chunk"], batch["flow"]):
-                sent = _sent(name, *Chunk(*unpack(flow), length).candidates(levels(length)[0]), buckets)
-                if len(sent):
-                    yield sent
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES)
+    sizes = levels(length)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, ids, texts in chunks(batches):
+            yield pd.DataFrame({"chunk": [name], "data": [pack(*tokenised(ids, texts))]})
+
+    held = rows.mapInPandas(cut, "chunk string, data binary").groupBy("chunk")
+
+    def first_level(held: pd.DataFrame) -> pd.DataFrame:
+        return _sent(held["chunk"].iloc[0], *Chunk(*unpack(held["data"].iloc[0]), length).candidates(sizes[0]), buckets)
 
     def next_level(before: int, size: int):
         def extend(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
             if not len(found):
                 return pd.DataFrame(columns=["chunk", "bucket", "data"])
-            got = Chunk(*unpack(held["flow"].iloc[0]), length).candidates(size, before, np.unique(_found(found)[0]))
+            got = Chunk(*unpack(held["data"].iloc[0]), length).candidates(size, before, np.unique(_found(found)[0]))
             return _sent(held["chunk"].iloc[0], *got, buckets)
 
         return extend
 
     def remove(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(*unpack(held["flow"].iloc[0]), length)
+        chunk = Chunk(*unpack(held["data"].iloc[0]), length)
         starts = np.empty(0, np.int64)
         if len(found):
             known, marks, least = _found(found)
@@ -256,22 +258,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 place = np.minimum(left + k, len(known) - 1)
                 hit |= (known[place] == key) & (marks[place] == check) & (least[place] < ids)
             starts = at[hit]
-        spans, kept = chunk.spans(starts), []
-        for text, runs in zip(unpack(held["texts"].iloc[0])[0], spans):
-            tokens = words(text)
-            for a, b in reversed(runs):
-                tokens = tokens[:a] + tokens[b:]
-            kept.append(b" ".join(tokens).decode("utf-8", "surrogatepass"))
+        spans = chunk.spans(starts)
         runs = [[{"first": a, "last": b} for a, b in s] for s in spans]
-        return pd.DataFrame({"doc_id": pd.array(chunk.ids, "Int64"), "n_words": chunk.sizes, "spans": runs, "kept": kept})
+        return pd.DataFrame({"doc_id": pd.array(chunk.ids, "Int64"), "n_words": chunk.sizes, "spans": runs, "kept": chunk.texts(spans)})
 
-    sizes = levels(length)
-    found = _exchange(flows.mapInPandas(first_level, SENT))
+    found = _exchange(held.applyInPandas(first_level, SENT))
     for before, size in zip(sizes, sizes[1:]):
-        if found.isEmpty():
-            break
-        found = _exchange(flows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(next_level(before, size), SENT))
-    return held.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(
+        found = _exchange(held.cogroup(found.groupBy("chunk")).applyInPandas(next_level(before, size), SENT))
+    return held.cogroup(found.groupBy("chunk")).applyInPandas(
         remove, "doc_id long, n_words long, spans array<struct<first: long, last: long>>, kept string",
     )
 
