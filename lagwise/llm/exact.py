@@ -75,16 +75,16 @@ def winners(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataF
     return large, small
 
 
-def _held(docs: DataFrame, large: DataFrame) -> DataFrame:
+def _held(docs: DataFrame, large: DataFrame, carry: list[str]) -> DataFrame:
     """Rows (row, id, d) of `docs`, with the verdict on heavy digests, of others null."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest_of().alias("d"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("doc_id").alias("id"), digest_of().alias("d"))
     return held.join(F.broadcast(large), F.col("d") == F.col("w"), "left").drop("w")
 
 
-def groups(docs: DataFrame, into: str, capacity: int = CAPACITY) -> DataFrame:
-    """`docs` with a column `into` of (digest, keep_id, group_size, kept); one row for every row of the input."""
+def groups(docs: DataFrame, into: str, capacity: int = CAPACITY, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` of `docs` (None: all) and `into` of (digest, keep_id, group_size, kept); one row for every row of the input."""
     large, small = winners(docs, capacity)
-    split = _held(docs, large)
+    split = _held(docs, large, docs.columns if carry is None else carry)
     light = split.filter("ties is null").select("row", "id", "d").join(small, F.col("d") == F.col("w")).drop("w")
     rows = split.filter("ties is not null").unionByName(light)
     best = F.col("id").eqNullSafe(F.col("keep_id"))
@@ -100,7 +100,7 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Losers of heavy digests go where they lie. Other rows are matched with the winners by digest and id.
     """
     large, small = winners(docs, capacity)
-    split = _held(docs, large)
+    split = _held(docs, large, docs.columns)
     best = F.col("id").eqNullSafe(F.col("keep_id"))
     light = split.filter("ties is null").select("row", "id", "d").join(small, (F.col("d") == F.col("w")) & best).drop("w")
     rows = split.filter(F.col("ties").isNotNull() & best).unionByName(light)
@@ -109,7 +109,7 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    rows = groups(documents(spark, sf_dir).select("doc_id", "text"), "g")
+    rows = groups(documents(spark, sf_dir), "g", carry=["doc_id"])
     return rows.select("doc_id", "g.keep_id", "g.group_size", "g.kept", F.col("g.digest").alias("text_sha256"))
 
 
