@@ -5,8 +5,9 @@ most 3^9 patterns, however many rows), and expectation-maximisation on the count
 from how often it votes on good and on bad documents. A document is kept when its posterior probability of being good reaches `KEEP` and
 the base rule does not reject it.
 
-A rule is never taken to be wrong more often than right, which keeps the roles of the classes, and a document against
-which no rule votes is always kept.
+A rule is never taken to be wrong more often than right, which keeps the roles of the classes. A document against
+which no rule votes is kept whatever its posterior, and counts as good by half at least while the accuracies are estimated;
+the posterior returned is the model's own. `one_word` abstains on texts below 30 words.
 
 Defined cases: a null text is an empty one; it fails the base rule. Ties at `KEEP` are kept. An empty table gives an
 empty result. Repeated rows get the same verdict.
@@ -129,7 +130,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> dict:
         chance = prior * good + (1 - prior) * bad
         wrong = np.where(says_bad, bad < good, good < bad)
         model = {"prior": prior, "good": np.where(wrong, chance, good), "bad": np.where(wrong, chance, bad)}
-        new = posterior(patterns, model)
+        new = trusted(patterns, posterior(patterns, model))
         if np.abs(new - p).max(initial=0) < 1e-9:
             break
         p = new
@@ -139,21 +140,26 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> dict:
 
 
 def posterior(patterns: np.ndarray, model: dict) -> np.ndarray:
-    """Probability that a document with this pattern is good; at least `KEEP` where no rule votes bad."""
+    """Probability that a document with this pattern is good."""
     v = votes(patterns)
     vote, none = np.log(model["good"] / model["bad"]), np.log((1 - model["good"]) / (1 - model["bad"]))
     odds = np.log(model["prior"] / (1 - model["prior"])) + np.where(v != ABSTAIN, vote, none).sum(1)
-    p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return np.where((v == BAD).any(1), p, np.maximum(KEEP, p))
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def pattern_posteriors(measured: DataFrame, pattern: Column) -> dict[int, float]:
-    """Posterior per vote pattern that occurs; counts over all rows, at most 3^9 of them reach the driver."""
+def trusted(patterns: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The posteriors, at least `KEEP` where no rule votes bad."""
+    return np.where((votes(patterns) == BAD).any(1), p, np.maximum(KEEP, p))
+
+
+def pattern_posteriors(measured: DataFrame, pattern: Column) -> tuple[dict[int, float], dict[int, float]]:
+    """Posterior per vote pattern that occurs, the model's own and the trusted one; counts over all rows, at most 3^9 of them reach the driver."""
     got = measured.groupBy(pattern.alias("pattern")).count().collect()
     if not got:
-        return {}
+        return {}, {}
     patterns, counts = np.array([r["pattern"] for r in got]), np.array([float(r["count"]) for r in got])
-    return dict(zip(patterns.tolist(), posterior(patterns, estimate(patterns, counts)).tolist()))
+    p = posterior(patterns, estimate(patterns, counts))
+    return dict(zip(patterns.tolist(), p.tolist())), dict(zip(patterns.tolist(), trusted(patterns, p).tolist()))
 
 
 def base_failed(row: str) -> Column:
@@ -175,16 +181,16 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, base counts, base_failed, posterior, kept). The counts are stored, so texts are read once."""
     bounded_batches(docs.sparkSession)
     rows = cut_lineage(docs.select("doc_id", _measure("text").alias("m")))
-    table = pattern_posteriors(rows, F.col("m.pattern"))
-    out = rows.withColumn("base_failed", base_failed("m")).withColumn("posterior", _posterior_of(docs.sparkSession, F.col("m.pattern"), table))
-    return out.select("doc_id", "m.*", "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"))
+    own, decisive = (_posterior_of(docs.sparkSession, F.col("m.pattern"), t) for t in pattern_posteriors(rows, F.col("m.pattern")))
+    failed = base_failed("m")
+    return rows.select("doc_id", "m.*", failed.alias("base_failed"), own.alias("posterior"), (~failed & (decisive >= KEEP)).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns. Texts are measured once to count and once to filter."""
     bounded_batches(docs.sparkSession)
     name = free_name(docs, "measured")
-    table = pattern_posteriors(docs.select(_measure("text").alias("m")), F.col("m.pattern"))
+    _, table = pattern_posteriors(docs.select(_measure("text").alias("m")), F.col("m.pattern"))
     rows = docs.withColumn(name, _measure("text"))
     good = ~base_failed(name) & (_posterior_of(docs.sparkSession, F.col(f"{name}.pattern"), table) >= KEEP)
     return rows.filter(good).drop(name)

@@ -182,6 +182,14 @@ def test_estimate_finds_accuracies():
     assert abs(model["prior"] - good.mean()) < 0.02 and np.abs(model["bad"] - fire_bad).max() < 0.05
 
 
+def test_documents_without_votes_are_kept():
+    silent, bad = sum(3**k for k in range(9)), sum(3**k for k in range(8))
+    model = rules.estimate(np.array([silent + 4, silent, bad]), np.array([9000.0, 10.0, 500.0]))
+    own = rules.posterior(np.array([silent, bad]), model)
+    assert (own < rules.KEEP).all()
+    assert (rules.trusted(np.array([silent, bad]), own) >= rules.KEEP).tolist() == [True, False]
+
+
 def test_heavy_hitters_are_found(spark, prose):
     rows = [(i, "hot" if i % 3 == 0 else "warm" if i % 7 == 0 else prose[i % 600] + str(i % 50)) for i in range(6000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
