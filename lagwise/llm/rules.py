@@ -152,14 +152,14 @@ def trusted(patterns: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.where((votes(patterns) == BAD).any(1), p, np.maximum(KEEP, p))
 
 
-def pattern_posteriors(measured: DataFrame, pattern: Column) -> tuple[dict[int, float], dict[int, float]]:
-    """Posterior per vote pattern that occurs, the model's own and the trusted one; counts over all rows, at most 3^9 of them reach the driver."""
+def pattern_posteriors(measured: DataFrame, pattern: Column) -> tuple[dict[int, float], list[int]]:
+    """Posterior per vote pattern that occurs, and the patterns that are kept; counts over all rows, at most 3^9 of them reach the driver."""
     got = measured.groupBy(pattern.alias("pattern")).count().collect()
     if not got:
-        return {}, {}
+        return {}, []
     patterns, counts = np.array([r["pattern"] for r in got]), np.array([float(r["count"]) for r in got])
     p = posterior(patterns, estimate(patterns, counts))
-    return dict(zip(patterns.tolist(), p.tolist())), dict(zip(patterns.tolist(), trusted(patterns, p).tolist()))
+    return dict(zip(patterns.tolist(), p.tolist())), patterns[trusted(patterns, p) >= KEEP].tolist()
 
 
 def base_failed(row: str) -> Column:
@@ -181,19 +181,19 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, base counts, base_failed, posterior, kept). The counts are stored, so texts are read once."""
     bounded_batches(docs.sparkSession)
     rows = cut_lineage(docs.select("doc_id", _measure("text").alias("m")))
-    own, decisive = (_posterior_of(docs.sparkSession, F.col("m.pattern"), t) for t in pattern_posteriors(rows, F.col("m.pattern")))
-    failed = base_failed("m")
-    return rows.select("doc_id", "m.*", failed.alias("base_failed"), own.alias("posterior"), (~failed & (decisive >= KEEP)).alias("kept"))
+    table, good = pattern_posteriors(rows, F.col("m.pattern"))
+    own, failed = _posterior_of(docs.sparkSession, F.col("m.pattern"), table), base_failed("m")
+    return rows.select("doc_id", "m.*", failed.alias("base_failed"), own.alias("posterior"), (~failed & F.col("m.pattern").isin(good)).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns. Texts are measured once to count and once to filter."""
     bounded_batches(docs.sparkSession)
     name = free_name(docs, "measured")
-    _, table = pattern_posteriors(docs.select(_measure("text").alias("m")), F.col("m.pattern"))
+    _, good = pattern_posteriors(docs.select(_measure("text").alias("m")), F.col("m.pattern"))
     rows = docs.withColumn(name, _measure("text"))
-    good = ~base_failed(name) & (_posterior_of(docs.sparkSession, F.col(f"{name}.pattern"), table) >= KEEP)
-    return rows.filter(good).drop(name)
+    # At most 3^9 patterns, looked up without a second Python worker beside the one that measures.
+    return rows.filter(~base_failed(name) & F.col(f"{name}.pattern").isin(good)).drop(name)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
