@@ -8,7 +8,8 @@ Rows are binned once and packed in blocks of about `BLOCK_ROWS`, in order of the
 a prefix of each block. A block meets the fits in groups; what a group knows of a block (the predictions so far) is
 stored after each tree, so a lost executor costs one tree at most, and the former state is then removed.
 Work is rows times fits, memory of a task one block with one group of fits. When all rows are one block there is nothing
-to add up between levels, and a job grows `ROUNDS` trees before it stores its state; the trees are the same.
+to add up between levels, and a job grows `ROUNDS` trees before it stores its state; the trees are the same. There a level adds up
+the smaller child of each node only, its sibling is what the node leaves (exact for whole targets: the state has single precision).
 
 A cut maximises the gain in squared error with an L2 penalty of `PENALTY` on leaf values, as usual for boosted trees; fits start
 from the mean of their training rows.
@@ -96,46 +97,141 @@ class Trees:
         split = cuts[:, 0] >= 0
         self.value[fit, 2 * at[split] + 1], self.value[fit, 2 * at[split] + 2] = cuts[split, 2], cuts[split, 3]
 
+    def descend(self, fit: int, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The nodes one level below `node`; a row stays where its node has no cut."""
+        inner = np.minimum(node, self.feature.shape[1] - 1)
+        feature = np.where(node == inner, self.feature[fit, inner], -1)
+        right = bins.ravel().take(feature * bins.shape[1] + np.arange(len(node)), mode="wrap") > self.cut[fit, inner]
+        return np.where(feature >= 0, 2 * node + 1 + right, node)
+
     def nodes(self, fit: int, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node each row has come to; a row stays where its node has no cut."""
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        """The node each row has come to."""
+        node = np.zeros(bins.shape[1], np.int64)
         for _ in range(depth):
-            inner = np.minimum(node, self.feature.shape[1] - 1)
-            feature = np.where(node == inner, self.feature[fit, inner], -1)
-            right = bins[rows, feature] > self.cut[fit, inner]
-            node = np.where(feature >= 0, 2 * node + 1 + right, node)
+            node = self.descend(fit, bins, node)
         return node
 
 
+class View:
+    """The rows of a block that are complete for a model, in order of their window: bins [feature, row], targets, windows, places."""
+
+    def __init__(self, data: tuple, m: int, places: np.ndarray):
+        bins, target, window, fit_for, _ = data
+        self.rows = np.flatnonzero(fit_for[:, m])
+        self.bins = np.ascontiguousarray(bins[self.rows][:, places].T)
+        self.target, self.window = target[self.rows], window[self.rows]
+
+    def trained(self, split: int) -> int:
+        """How many rows stand before a window."""
+        return int(np.searchsorted(self.window, split))
+
+    def reached(self, split: int) -> int:
+        """How many rows stand before a window or in it."""
+        return int(np.searchsorted(self.window, split, side="right"))
+
+
+def views_of(data: tuple, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray]) -> dict[int, View]:
+    return {m: View(data, m, models[m]) for m in {m for _, m, _ in fits}}
+
+
+def histogram(bins: np.ndarray, own: np.ndarray, rest: np.ndarray, nodes: int, width: int, rows: np.ndarray | None = None,
+              counts: np.ndarray | None = None) -> np.ndarray:
+    """Sums and counts [2, node, feature, bin] of residuals, over all rows or those at `rows`; node `nodes` is left out.
+
+    One feature after the other, so that what is added up at a time stays in the processor's cache. `counts` are those already known.
+    """
+    first = own * width
+    found = np.empty((2, nodes, len(bins), width))
+    for f, column in enumerate(bins):
+        cells = first + (column if rows is None else column.take(rows))
+        for kind, weights in enumerate((rest, None) if counts is None else (rest,)):
+            found[kind, :, f] = np.bincount(cells, weights, minlength=(nodes + 1) * width).reshape(-1, width)[:nodes]
+    if counts is not None:
+        found[1] = counts
+    return found
+
+
+def places_of(node: np.ndarray, level: int) -> np.ndarray:
+    """The place of each row's node in its level; rows at rest above it come after the last one."""
+    nodes = 2**level
+    own = node - (nodes - 1)
+    return np.where(own < 0, nodes, own)
+
+
+def child_histograms(above: np.ndarray, bins: np.ndarray, node: np.ndarray, rest: np.ndarray, level: int, width: int) -> np.ndarray:
+    """The histogram of a level from the one above it: only the smaller child of a node is added up, the other is what it leaves."""
+    own = places_of(node, level)
+    sizes = np.bincount(own, minlength=2**level + 1)[:-1].reshape(-1, 2)
+    parents = len(sizes)
+    less = (sizes[:, 1] < sizes[:, 0]).astype(int)
+    taken = np.zeros(2**level + 1, bool)
+    taken[2 * np.arange(parents) + less] = True
+    rows = np.flatnonzero(taken.take(own))
+    part = histogram(bins, own.take(rows) // 2, rest.take(rows), parents, width, rows)
+    other = above - part
+    other[0][other[1] == 0] = 0.0
+    other[:, sizes.sum(axis=1) == 0] = 0.0  # a node without a cut has no children
+    found = np.empty((2, parents, 2, *above.shape[2:]))
+    found[:, np.arange(parents), less] = part
+    found[:, np.arange(parents), 1 - less] = other
+    return found.reshape(2, 2 * parents, *above.shape[2:])
+
+
 def histograms(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], trees: Trees,
                level: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Per fit the sums and counts [2, node of this level, feature, bin] of its training rows in a block."""
-    bins, target, window, fit_for, _ = data
-    offsets = {m: bins[:, models[m]].astype(np.int64) + np.arange(len(models[m])) * width for m in {m for _, m, _ in fits}}
+    """Per fit the histogram of its training rows in a block."""
+    views = views_of(data, fits, models)
     for i, (fit, m, split) in enumerate(fits):
-        end = int(np.searchsorted(window, split))
-        rows = np.flatnonzero(fit_for[:end, m])
-        node = trees.nodes(fit, bins[:, models[m]][:end], level)[rows] - (2**level - 1)
-        here = rows[node >= 0]
-        node = node[node >= 0]
-        size = len(models[m]) * width
-        cells = (offsets[m][here] + (node * size)[:, None]).ravel()
-        rest = np.repeat(target[here] - state[here, i], len(models[m]))
-        flat = [np.bincount(cells, w, minlength=2**level * size) for w in (rest, None)]
-        yield fit, np.stack(flat).reshape(2, 2**level, len(models[m]), width)
+        view = views[m]
+        end = view.trained(split)
+        rest = view.target[:end] - state[view.rows[:end], i]
+        node = trees.nodes(fit, view.bins[:, :end], level)
+        yield fit, histogram(view.bins[:, :end], places_of(node, level), rest, 2**level, width)
 
 
 def advance(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], trees: Trees,
             depth: int, rate: float) -> np.ndarray:
     """Predictions after one more tree, for the training and the test rows of each fit."""
-    state = state.copy()
+    state, views = state.copy(), views_of(data, fits, models)
     for i, (fit, m, split) in enumerate(fits):
-        end = int(np.searchsorted(data[2], split, side="right"))
-        state[:end, i] += rate * trees.value[fit, trees.nodes(fit, data[0][:end][:, models[m]], depth)]
+        view = views[m]
+        end = view.reached(split)
+        state[view.rows[:end], i] += rate * trees.value[fit, trees.nodes(fit, view.bins[:, :end], depth)]
     return state
 
 
+def grow_alone(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], rounds: int,
+               depth: int, width: int, rate: float) -> np.ndarray:
+    """Predictions after some more trees, when the block has all rows: no fit waits for another one, and each row goes down a tree once."""
+    state, views = state.copy(), views_of(data, fits, models)
+    for i, (_, m, split) in enumerate(fits):
+        view = views[m]
+        train, end = view.trained(split), view.reached(split)
+        bins, target = np.ascontiguousarray(view.bins[:, :end]), view.target[:train]
+        held = state[view.rows[:end], i]
+        known = None
+        for _ in range(rounds):
+            tree, node, rest = Trees(1, depth), np.zeros(end, np.int64), target - held[:train]
+            found = known = histogram(bins[:, :train], node[:train], rest, 1, width, counts=None if known is None else known[1])
+            for level in range(depth):
+                if level:
+                    found = child_histograms(found, bins[:, :train], node[:train], rest, level, width)
+                tree.grow(0, level, cuts_of(found))
+                node = tree.descend(0, bins, node)
+            held += rate * tree.value[0, node]
+        state[view.rows[:end], i] = held
+    return state
+
+
+def dealt(fits: list[tuple[int, int, int]], work: Sequence[int], n_groups: int) -> list[list[tuple[int, int, int]]]:
+    """Groups of about equal numbers of fits and equal work: from the largest down, to and fro over the groups."""
+    groups: list[list] = [[] for _ in range(n_groups)]
+    for i, at in enumerate(sorted(range(len(fits)), key=lambda k: -work[k])):
+        turn, g = divmod(i, n_groups)
+        groups[g if turn % 2 == 0 else n_groups - 1 - g].append(fits[at])
+    return groups
+
+
 def fit_splits(bucketed: DataFrame, splits: Sequence[int], models: dict[str, Sequence[str]], target: str, settings: dict,
                to_rows: Callable[..., DataFrame], min_train: int, min_test: int,
                keys: Sequence[str] = ("date", "region_id", "need_type"), block_rows: int = BLOCK_ROWS) -> DataFrame | None:
@@ -171,7 +267,7 @@ def fit_splits(bucketed: DataFrame, splits: Sequence[int], models: dict[str, Seq
     n_blocks = max(1, -(-sum(r[1] for r in rows.groupBy("split_index").count().collect()) // block_rows))
     blocks = pack_blocks(rows.repartition(n_blocks), columns, places, bin_edges(rows, columns, width), target, keys)
     n_groups = min(len(fits), max(-(-len(fits) // GROUP_FITS), -(-spark.sparkContext.defaultParallelism // n_blocks)))
-    groups = [fits[g::n_groups] for g in range(n_groups)]
+    groups = dealt(fits, [trained[fit] * len(places[m]) for fit, m, _ in fits], n_groups)
     fixed = spark.sparkContext.broadcast((groups, places, np.array(starts)))
     folder = scratch(spark, "boosting")
 
@@ -198,18 +294,11 @@ def fit_splits(bucketed: DataFrame, splits: Sequence[int], models: dict[str, Seq
     spread = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), "data").repartition(n_blocks * n_groups)
     at = f"{folder}/0"
     spread.mapInArrow(begin, schema).write.parquet(at)
+
     def grow_local(rounds: int) -> Callable:
         def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, models, _ = fixed.value
             for g, group, data, state, blob in opened(batches):
-                own = [(i, m, split) for i, (_, m, split) in enumerate(group)]
-                for _ in range(rounds):
-                    trees = Trees(len(own), depth)
-                    for level in range(depth):
-                        for fit, h in histograms(data, state, own, models, trees, level, width):
-                            trees.grow(fit, level, cuts_of(h))
-                    state = advance(data, state, own, models, trees, depth, settings["stepSize"])
-                yield stored_row(g, blob, state)
+                yield stored_row(g, blob, grow_alone(data, state, group, fixed.value[1], rounds, depth, width, settings["stepSize"]))
 
         return grow
 

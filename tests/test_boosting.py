@@ -101,3 +101,42 @@ def test_scratch_is_removed(spark, rows, tmp_path, monkeypatch):
     out = boosting.fit_splits(df, [0], {"m": ["a"]}, "target", SETTINGS | {"maxIter": 40}, shaped, 1, 1, keys=["id"])
     assert out.filter(F.abs(F.col("p") - F.col("target")) > 0.2).count() == 0
     assert os.listdir(tmp_path) == []
+
+
+def block(n=900, seed=3):
+    """A block of four features for two models; targets are whole numbers, some rows lack a feature of the first model."""
+    rng = np.random.default_rng(seed)
+    bins = rng.integers(0, boosting.BINS, (n, 4)).astype(np.uint8)
+    bins[:, 3] = rng.integers(0, 2, n) * 9
+    known = np.stack([rng.random(n) < 0.9, np.ones(n, bool)], axis=1)
+    target = np.rint(bins[:, 0] + 4 * (bins[:, 1] > 12) + 9 * (bins[:, 3] > 0) + rng.normal(size=n))
+    data = (bins, target, np.sort(rng.integers(-1, 3, n)).astype(np.int32), known, None)
+    return data, [(0, 0, 1), (1, 1, 2), (2, 1, 0)], [np.array([0, 1, 2, 3]), np.array([3, 0])]
+
+
+def test_trees_grown_alone_equal_trees_grown_by_level(monkeypatch):
+    data, fits, models = block()
+    begin = np.tile(np.float32([8.5, 9.25, 7.75]), (len(data[1]), 1))
+    added, plain = [], boosting.histogram
+    monkeypatch.setattr(boosting, "histogram", lambda bins, own, *a, **k: added.append(len(own)) or plain(bins, own, *a, **k))
+    got = boosting.grow_alone(data, begin, fits, models, 4, 5, boosting.BINS, 0.3)
+    alone = sum(added)
+    added.clear()
+    want = begin
+    for _ in range(4):
+        trees = boosting.Trees(len(fits), 5)
+        for level in range(5):
+            for fit, found in boosting.histograms(data, want, fits, models, trees, level, boosting.BINS):
+                trees.grow(fit, level, boosting.cuts_of(found))
+        want = boosting.advance(data, want, fits, models, trees, 5, 0.3)
+    assert np.array_equal(got, want) and not np.array_equal(got, begin)
+    # Below the root only smaller children are added up: at most the rows once and half of them four times.
+    assert alone <= sum(added) * 3 / 5
+
+
+def test_groups_have_equal_work():
+    fits = [(i, 0, i) for i in range(50)]
+    groups = boosting.dealt(fits, range(1, 51), 8)
+    assert sorted(f for g in groups for f in g) == fits
+    sums = [sum(i + 1 for i, _, _ in g) for g in groups]
+    assert max(sums) - min(sums) <= 50 and {len(g) for g in groups} <= {6, 7}
