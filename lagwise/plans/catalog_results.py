@@ -88,9 +88,14 @@ def parse(spark, sf):
     return referrals.parse_referrals(raw, referrals.region_lookup(raw)).select(*_PARSED_COLUMNS)
 
 
+# Orders of one file of the feed, about 40 MB, since a task writes it.
+FILE_ROWS = 250_000
+
+
 def _csv_feed(spark, sf, files: int = 2) -> list[str]:
-    """The feed as files of two kinds of headers, and a file that is not there."""
+    """The feed as files of two kinds of headers, at least `files` of each, and a file that is not there."""
     full, core = _scratch(spark, "feed-full"), _scratch(spark, "feed-core")
+    files = max(files, -(-table(spark, sf, "orders").count() // FILE_ROWS))
     rows = _headers(spark, sf).drop("row_seq").repartition(files, "REF_ID")
     first = F.col("REF_CODE") != ""
     rows.filter(first).drop("REF_CODE_x").write.csv(full, header=True, escape='"', quoteAll=True)
@@ -113,9 +118,13 @@ SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE o_orderstatus <> 'P') AS i
        COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS skipped, 2 AS kinds FROM headers
 """, headers=_HEADERS))
 def ingest_report(spark, sf):
-    """The reports of the files written, added up, since their names are Spark's."""
-    report = referrals.ingest_report(referrals.scan_files(spark, _csv_feed(spark, sf, files=1)))
-    return report.agg(*[F.sum(c).alias(c) for c in ("total_rows", "ingested", "skipped")], F.count("filename").cast("int").alias("kinds"))
+    """The reports of the files written, added up, since their names are Spark's, and how many kinds of headers they have."""
+    feed = _csv_feed(spark, sf, files=1)
+    report = referrals.ingest_report(referrals.scan_files(spark, feed))
+    heads = spark.createDataFrame(
+        [(name.rpartition("/")[2], line) for name, _, line in referrals.listed_files(spark, feed)], "filename string, header string")
+    return report.join(F.broadcast(heads), "filename").agg(
+        *[F.sum(c).alias(c) for c in ("total_rows", "ingested", "skipped")], F.count_distinct("header").cast("int").alias("kinds"))
 
 
 _ZIPS = """

@@ -72,7 +72,8 @@ def scan_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = Tru
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
         )
         out = part if out is None else out.unionByName(part)
-    return out.join(ranks, "path").select(*HEADERS, "source_file", F.struct("file_rank", "block", "row").alias("row_seq"))
+    # The files were listed here, so their ranks can be sent to every task; a shuffle would bring all rows of a file together.
+    return out.join(F.broadcast(ranks), "path").select(*HEADERS, "source_file", F.struct("file_rank", "block", "row").alias("row_seq"))
 
 
 def region_lookup(raw: DataFrame) -> DataFrame:

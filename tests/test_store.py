@@ -134,3 +134,24 @@ def test_upsert_moves_a_key_to_another_partition(spark, tmp_path):
     tables.upsert_table(spark, path, rows([(1, "y", "new", 2)]), ["k"], "seq", ["part"])
     stored = {(r["k"], r["part"], r["v"]) for r in spark.read.parquet(path).collect()}
     assert stored == {(1, "y", "new"), (2, "z", "old")}
+
+
+def test_rows_of_a_file_are_not_brought_together(spark, files):
+    plan = referrals.scan_files(spark, files)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_large_feed_is_many_files_of_two_kinds(spark, tmp_path, monkeypatch):
+    from lagwise.plans import catalog_results as catalog
+
+    orders = [(i, i % 7, "FOP"[i % 3], f"{1 + i % 5}-X", date(2025, 1, 1 + i % 28)) for i in range(400)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, i % 3) for i in range(7)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(catalog, "FILE_ROWS", 100, raising=False)
+    per_kind = {}
+    for name, _, line in referrals.listed_files(spark, catalog._csv_feed(spark, str(tmp_path), files=1)):
+        per_kind.setdefault(line, []).append(name)
+    assert [len(names) for names in per_kind.values()] == [4, 4]
+    got = catalog.QUERIES["s1_ingest_report"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(400, 267, 133, 2)]
