@@ -122,7 +122,7 @@ def ingest_report(spark, sf):
     feed = _csv_feed(spark, sf, files=1)
     report = referrals.ingest_report(referrals.scan_files(spark, feed))
     heads = spark.createDataFrame(
-        [(name.rpartition("/")[2], line) for name, _, line in referrals.listed_files(spark, feed)], "filename string, header string")
+        [(uri.rpartition("/")[2], line) for _, uri, line, _ in referrals.listed_files(spark, feed)], "filename string, header string")
     return report.join(F.broadcast(heads), "filename").agg(
         *[F.sum(c).alias(c) for c in ("total_rows", "ingested", "skipped")], F.count_distinct("header").cast("int").alias("kinds"))
 

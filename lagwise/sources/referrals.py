@@ -6,19 +6,22 @@ import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.functions.expressions import blank_to_null, strip, tolerant_double, tolerant_int
 from lagwise.operators.needs import require_fields
 from lagwise.operators.windows import keep_one
 from lagwise.schemas import REFERRAL_OTHER, REFERRAL_TEXT
+from lagwise.sources.records import large_records
 
 HEADERS = [*REFERRAL_TEXT, *REFERRAL_OTHER]
+# Bytes of a file that one task may read.
+WHOLE_BYTES = 128 << 20
 
 
-def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, str]]:
-    """(file, its URI, first line) of every file named or lying in a folder named, in list order; what is absent or empty is left out.
+def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, str, int]]:
+    """(file, its URI, first line, bytes) of every file named or lying in a folder named, in list order; what is absent or empty is left out.
 
     Spark's file systems list the files and read the one line; only that comes to the driver.
     """
@@ -36,7 +39,7 @@ def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, s
                     line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
                 finally:
                     stream.close()
-                found.append((status.getPath().toString(), status.getPath().toUri().toString(), line))
+                found.append((status.getPath().toString(), status.getPath().toUri().toString(), line, status.getLen()))
     return found
 
 
@@ -45,32 +48,50 @@ def _one_slash(path: str) -> str:
     return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", path)
 
 
-def scan_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
+def _with_one_slash() -> Column:
+    return F.regexp_replace(F.col("path"), "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _read(spark: SparkSession, group: list[str], columns: int, multi_line: bool) -> DataFrame:
+    """Text columns `_0`, `_1` and so on by place, with source_file, path, block and row."""
+    schema = ", ".join(f"_{i} string" for i in range(columns))
+    raw = spark.read.schema(schema).csv(group, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+    return raw.select(
+        *[f"_{i}" for i in range(columns)], F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def _read_large(spark: SparkSession, group: dict[str, str], columns: int) -> DataFrame:
+    """The same of files, with their names, that are too large for one task."""
+    schema = ", ".join(f"_{i} string" for i in range(columns))
+    parsed = large_records(spark, list(group)).withColumn("_c", F.from_csv("record", schema, {"quote": '"', "escape": '"'}))
+    named = spark.createDataFrame([(_one_slash(uri), uri.rpartition("/")[2]) for uri in group.values()], "path string, source_file string")
+    return parsed.withColumn("path", _with_one_slash()).join(F.broadcast(named), "path").select(
+        "_c.*", "source_file", "path", "block", "row")
+
+
+def scan_files(spark: SparkSession, paths: Sequence[str], multi_line: bool = True, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """All files that exist, as text columns.
 
     Only the known headers are taken, so names, organisations and birth dates never enter the plan; headers that a file
     lacks become NULL. Files of equal headers are one read, however many they are. `row_seq` orders rows as they were listed:
-    file, block, position. Quoted line breaks need `multi_line`, which makes each file one task; feeds known to have none can
-    switch it off, and Spark splits large files.
+    file, block, position. Quoted line breaks need `multi_line`: Spark then reads each file in one task, and those above
+    `whole_bytes` are cut into records by `large_records`. Feeds known to have no such breaks can switch it off.
     """
     files = listed_files(spark, paths)
     if not files:
         raise FileNotFoundError(f"none of the files exists: {list(paths)}")
-    alike: dict[tuple[str, ...], list[str]] = {}
-    for path, _, line in files:
-        alike.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(path)
-    ranks = spark.createDataFrame([(_one_slash(uri), i) for i, (_, uri, _) in enumerate(files)], "path string, file_rank int")
+    alike: dict[tuple[bool, tuple[str, ...]], dict[str, str]] = {}
+    for path, uri, line, size in files:
+        large = multi_line and size > whole_bytes
+        alike.setdefault((large, tuple(next(csv.reader([line.lstrip("\ufeff")])))), {})[path] = uri
+    ranks = spark.createDataFrame([(_one_slash(uri), i) for i, (_, uri, _, _) in enumerate(files)], "path string, file_rank int")
     out = None
-    for names, group in alike.items():
+    for (large, names), group in alike.items():
         # Names by place, since headers may repeat; the first of equal ones counts.
-        schema = ", ".join(f"_{i} string" for i in range(len(names)))
-        raw = spark.read.schema(schema).csv(group, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+        raw = _read_large(spark, group, len(names)) if large else _read(spark, list(group), len(names), multi_line)
         wanted = [(F.col(f"_{names.index(h)}") if h in names else F.lit(None).cast("string")).alias(h) for h in HEADERS]
-        part = raw.select(
-            *wanted, F.col("_metadata.file_name").alias("source_file"),
-            F.regexp_replace(F.col("_metadata.file_path"), "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
-        )
+        part = raw.select(*wanted, "source_file", _with_one_slash().alias("path"), "block", "row")
         out = part if out is None else out.unionByName(part)
     # The files were listed here, so their ranks can be sent to every task; a shuffle would bring all rows of a file together.
     return out.join(F.broadcast(ranks), "path").select(*HEADERS, "source_file", F.struct("file_rank", "block", "row").alias("row_seq"))

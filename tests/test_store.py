@@ -150,8 +150,42 @@ def test_large_feed_is_many_files_of_two_kinds(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, i % 3) for i in range(7)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
     monkeypatch.setattr(catalog, "FILE_ROWS", 100, raising=False)
     per_kind = {}
-    for name, _, line in referrals.listed_files(spark, catalog._csv_feed(spark, str(tmp_path), files=1)):
+    for name, _, line, _ in referrals.listed_files(spark, catalog._csv_feed(spark, str(tmp_path), files=1)):
         per_kind.setdefault(line, []).append(name)
     assert [len(names) for names in per_kind.values()] == [4, 4]
     got = catalog.QUERIES["s1_ingest_report"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(400, 267, 133, 2)]
+
+
+HARD = [
+    '1,C1,2025-01-02,90001,CA,Food,1,2,"two\nlines, ""quoted""\n\n",x', '2,C2,2025-01-03,90002,"NV",Food,1,2,"",', "",
+    '3,"",2025-01-03,9"0"3,CA,5" pipe,1,2,a "b" c,', '4,C4,2025-01-04,90004,CA,"Food"" and\n""more""",1,2,"' + "long\n,\"\"" * 40 + '",end',
+    '5,"C\n5",2025-01-05', '6,C6,2025-01-06,90006,CA,Food,1,2,é ü "x\ny",', '"7",C7,"2025-01-07",90007,CA,Food,1,2,"""\n""",more,than,there',
+]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", ["16", "61", "1m"])
+def test_large_files_are_read_by_many_tasks(spark, tmp_path, end, block):
+    """Files cut at any place give the rows that Spark's reader of whole files gives, in order, whatever their fields hold."""
+    from lagwise.sources.records import large_records
+
+    head = "REF_ID,REF_CODE,REF_DATE,ZIPCODE,STATE,CATEGORY,Age,RISK_SCORE,SUBCATEGORY,LOB"
+    paths = []
+    for i in range(2):
+        paths.append(str(tmp_path / f"big {i}.csv"))
+        with open(paths[-1], "w", encoding="utf-8", newline="") as f:
+            f.write((end.join([head, *HARD[i:], *HARD]) + (end if i else "")).replace("\r\n", "\n").replace("\n", end))
+    names = {"spark.sql.files.maxPartitionBytes": block, "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in names}
+    whole = [tuple(r)[:-1] for r in referrals.scan_files(spark, paths).orderBy("row_seq").collect()]
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        cut = [tuple(r)[:-1] for r in referrals.scan_files(spark, paths, whole_bytes=0).orderBy("row_seq").collect()]
+        n_blocks = large_records(spark, paths).select("path", "block").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(whole) > 13 and cut == whole
+    assert n_blocks > (8 if block != "1m" else 1)
