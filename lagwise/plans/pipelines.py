@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +82,11 @@ def fit_models(features: DataFrame, selected: list[str], settings: dict | None =
     The feature matrix should be a stored or checkpointed table: each fit reads it several times.
     """
     train, test = models.holdout(features)
-    everything = models.weather_model(train, test, settings=settings)
-    chosen = models.weather_model(train, test, selected, "granger_selected", settings)
+    # A fit is many small jobs one after the other, so both run at the same time.
+    with ThreadPoolExecutor(2) as pool:
+        everything, chosen = pool.map(
+            lambda m: models.weather_model(train, test, m[1], m[0], settings),
+            [("var_all_weather", ALL_WEATHER_FEATURES), ("granger_selected", selected)])
     predictions = models.baseline(train, test)
     importances = None
     for predicted, gains in (everything, chosen):

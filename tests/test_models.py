@@ -246,3 +246,24 @@ def test_improvements(spark):
     got = evaluate.improvements(reports, drift).collect()[0].asDict()
     assert got == {"granger_vs_baseline_rmse_pct": 25.0, "granger_vs_baseline_stability_pct": 75.0,
                    "var_vs_baseline_rmse_pct": 20.0, "robustness_gain_pct": -25.0}
+
+
+def test_holdout_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from lagwise.plans import pipelines
+
+    both = threading.Barrier(2)
+    seen = {}
+
+    def fit(train, test, columns=(), name="var_all_weather", settings=None):
+        both.wait(timeout=20)
+        seen[name] = list(columns)
+        return None, None
+
+    monkeypatch.setattr(models, "weather_model", fit)
+    days = spark.sql("SELECT date_add(DATE'2024-01-01', i) AS date, 'a' AS region_id, 'n' AS need_type, i % 5 AS target_count, "
+                     "(i + 3) % 5 AS target_lag_7, i % 7 AS day_of_week FROM (SELECT CAST(id AS INT) AS i FROM range(90))")
+    predictions, gains = pipelines.fit_models(days, ["tmax_lag_1"])
+    assert gains is None and {r[0] for r in predictions.select("model_type").distinct().collect()} == {"baseline_ar"}
+    assert seen["granger_selected"] == ["tmax_lag_1"] and set(seen) == {"var_all_weather", "granger_selected"}
