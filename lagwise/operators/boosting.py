@@ -10,6 +10,8 @@ stored after each tree, so a lost executor costs one tree at most, and the forme
 Work is rows times fits, memory of a task one block with one group of fits. When all rows are one block there is nothing
 to add up between levels, and a job grows `ROUNDS` trees before it stores its state; the trees are the same. There a level adds up
 the smaller child of each node only, its sibling is what the node leaves (exact for whole targets: the state has single precision).
+Features are joined to columns, as digits of a number: a pass over the rows for each column adds up all its features, and sums over
+the small table give the histogram of each.
 
 A cut maximises the gain in squared error with an L2 penalty of `PENALTY` on leaf values, as usual for boosted trees; fits start
 from the mean of their training rows.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ BINS = 32
 BLOCK_ROWS = 100_000
 ROUNDS = 20
 GROUP_FITS = 64
+SIDE_BINS = (8, 2)
 PENALTY = 1.0
 LEAST_GAIN = 1e-9
 
@@ -70,10 +74,17 @@ def cuts_of(histogram: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     left = np.cumsum(histogram, axis=3)[..., :-1]
     whole = histogram.sum(axis=3, keepdims=True)
     right = whole - left
-    value = lambda side: side[0] / (side[1] + penalty)
+
+    def share(side: np.ndarray) -> np.ndarray:
+        found = side[1] + penalty
+        np.divide(side[0], found, out=found)
+        return np.multiply(side[0], found, out=found)
+
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left[0] * value(left) + right[0] * value(right) - whole[0] * value(whole)
-        gain[(left[1] < 1) | (right[1] < 1)] = -np.inf
+        gain = share(left)
+        gain += share(right)
+        gain -= share(whole)
+        np.copyto(gain, -np.inf, where=np.minimum(left[1], right[1]) < 1)
     nodes, features, cuts = gain.shape
     best = gain.reshape(nodes, -1).argmax(axis=1)
     at = (np.arange(nodes), best // cuts, best % cuts)
@@ -104,6 +115,15 @@ class Trees:
         right = bins.ravel().take(feature * bins.shape[1] + np.arange(len(node)), mode="wrap") > self.cut[fit, inner]
         return np.where(feature >= 0, 2 * node + 1 + right, node)
 
+    def divide(self, fit: int, level: int, bins: np.ndarray, members: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """The rows of each node below `level` from those of its nodes; a node without a cut has no children."""
+        for node, rows in enumerate(members, 2**level - 1):
+            if self.feature[fit, node] < 0:
+                yield from (rows[:0], rows[:0])
+            else:
+                right = bins[self.feature[fit, node]].take(rows) > self.cut[fit, node]
+                yield from (rows.take(np.flatnonzero(~right)), rows.take(np.flatnonzero(right)))
+
     def nodes(self, fit: int, bins: np.ndarray, depth: int) -> np.ndarray:
         """The node each row has come to."""
         node = np.zeros(bins.shape[1], np.int64)
@@ -112,14 +132,63 @@ class Trees:
         return node
 
 
+class Joined:
+    """Columns that hold several features each: a main one and beside it one of at most 16 bins, or one of at most 8 and one of at most 2.
+
+    `columns` [column, row] has the cell of each row; `held` has the features and their columns, per kind of place.
+    """
+
+    def __init__(self, bins: np.ndarray, width: int = BINS):
+        large, small = SIDE_BINS
+        side = large * small
+        self.features, self.shape = len(bins), (width, side)
+        sizes = bins.max(axis=1, initial=0).astype(int) + 1
+        free: dict[str, list[int]] = {"side": [], "large": [], "small": []}
+        self.held: dict[str, list[tuple[int, int]]] = {"main": [], "side": [], "large": [], "small": []}
+        columns: list[np.ndarray] = []
+        for f in np.argsort(-sizes, kind="stable").tolist():
+            kind = next((k for k, most in (("small", small), ("large", large), ("side", side)) if free[k] and sizes[f] <= most), "main")
+            if kind == "main":
+                columns.append(bins[f].astype(np.int64) * side)
+                free["side"].append(len(columns) - 1)
+                at = len(columns) - 1
+            else:
+                at = free[kind].pop(0)
+                if kind == "side" and sizes[f] <= large:
+                    kind = "large"
+                    free["small"].append(at)
+                columns[at] += bins[f].astype(np.int64) * (small if kind == "large" else 1)
+            self.held[kind].append((f, at))
+        self.cells = width * side
+        self.columns = np.array(columns, np.min_scalar_type(self.cells)).reshape(len(columns), bins.shape[1])
+
+    def spread(self, table: np.ndarray, found: np.ndarray) -> None:
+        """The histograms [kind, node, feature, bin] from a table [kind, node, column, cell]."""
+        table = table.reshape(*table.shape[:3], *self.shape)
+        side = np.einsum("kncms->kncs", table)
+        halves = side.reshape(*side.shape[:3], *SIDE_BINS)
+        sums = {"main": lambda: np.einsum("kncms->kncm", table), "side": lambda: side,
+                "large": lambda: np.einsum("knclt->kncl", halves), "small": lambda: np.einsum("knclt->knct", halves)}
+        for kind, held in self.held.items():
+            if held:
+                features, columns = map(list, zip(*held))
+                part = sums[kind]()
+                found[:, :, features, : part.shape[3]] = part[:, :, columns]
+
+
 class View:
     """The rows of a block that are complete for a model, in order of their window: bins [feature, row], targets, windows, places."""
 
-    def __init__(self, data: tuple, m: int, places: np.ndarray):
+    def __init__(self, data: tuple, m: int, places: np.ndarray, width: int):
         bins, target, window, fit_for, _ = data
         self.rows = np.flatnonzero(fit_for[:, m])
         self.bins = np.ascontiguousarray(bins[self.rows][:, places].T)
         self.target, self.window = target[self.rows], window[self.rows]
+        self.width = max(width, SIDE_BINS[0] * SIDE_BINS[1])
+
+    @cached_property
+    def joined(self) -> Joined:
+        return Joined(self.bins, self.width)
 
     def trained(self, split: int) -> int:
         """How many rows stand before a window."""
@@ -130,22 +199,27 @@ class View:
         return int(np.searchsorted(self.window, split, side="right"))
 
 
-def views_of(data: tuple, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray]) -> dict[int, View]:
-    return {m: View(data, m, models[m]) for m in {m for _, m, _ in fits}}
+def views_of(data: tuple, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], width: int = BINS) -> dict[int, View]:
+    return {m: View(data, m, models[m], width) for m in {m for _, m, _ in fits}}
 
 
-def histogram(bins: np.ndarray, own: np.ndarray, rest: np.ndarray, nodes: int, width: int, rows: np.ndarray | None = None,
+def histogram(joined: Joined, own: np.ndarray, rest: np.ndarray, nodes: int, rows: np.ndarray | None = None,
               counts: np.ndarray | None = None) -> np.ndarray:
-    """Sums and counts [2, node, feature, bin] of residuals, over all rows or those at `rows`; node `nodes` is left out.
+    """Sums and counts [2, node, feature, bin] of residuals, over the first rows or those at `rows`; node `nodes` is left out.
 
-    One feature after the other, so that what is added up at a time stays in the processor's cache. `counts` are those already known.
+    One joined column after the other, so that what is added up at a time stays in the processor's cache. `counts` are those already known.
     """
-    first = own * width
-    found = np.empty((2, nodes, len(bins), width))
-    for f, column in enumerate(bins):
-        cells = first + (column if rows is None else column.take(rows))
-        for kind, weights in enumerate((rest, None) if counts is None else (rest,)):
-            found[kind, :, f] = np.bincount(cells, weights, minlength=(nodes + 1) * width).reshape(-1, width)[:nodes]
+    weights = (rest, None) if counts is None else (rest,)
+    first = own * joined.cells if nodes > 1 else None
+    table = np.empty((len(weights), nodes, len(joined.columns), joined.cells))
+    for c, column in enumerate(joined.columns):
+        cells = column[: len(own)] if rows is None else column.take(rows)
+        if first is not None:
+            cells = cells + first
+        for kind, w in enumerate(weights):
+            table[kind, :, c] = np.bincount(cells, w, minlength=(nodes + 1) * joined.cells).reshape(-1, joined.cells)[:nodes]
+    found = np.zeros((2, nodes, joined.features, joined.shape[0]))
+    joined.spread(table, found[: len(weights)])
     if counts is not None:
         found[1] = counts
     return found
@@ -158,16 +232,17 @@ def places_of(node: np.ndarray, level: int) -> np.ndarray:
     return np.where(own < 0, nodes, own)
 
 
-def child_histograms(above: np.ndarray, bins: np.ndarray, node: np.ndarray, rest: np.ndarray, level: int, width: int) -> np.ndarray:
-    """The histogram of a level from the one above it: only the smaller child of a node is added up, the other is what it leaves."""
-    own = places_of(node, level)
-    sizes = np.bincount(own, minlength=2**level + 1)[:-1].reshape(-1, 2)
+def child_histograms(above: np.ndarray, joined: Joined, members: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """The histogram of a level from the one above it: only the smaller child of a node is added up, the other is what it leaves.
+
+    `members` has the rows of each node of the level, none for the children of a node without a cut.
+    """
+    sizes = np.array([len(rows) for rows in members]).reshape(-1, 2)
     parents = len(sizes)
     less = (sizes[:, 1] < sizes[:, 0]).astype(int)
-    taken = np.zeros(2**level + 1, bool)
-    taken[2 * np.arange(parents) + less] = True
-    rows = np.flatnonzero(taken.take(own))
-    part = histogram(bins, own.take(rows) // 2, rest.take(rows), parents, width, rows)
+    rows = np.concatenate([members[2 * p + least] for p, least in enumerate(less)])
+    own = np.repeat(np.arange(parents), sizes[np.arange(parents), less])
+    part = histogram(joined, own, rest.take(rows), parents, rows)
     other = above - part
     other[0][other[1] == 0] = 0.0
     other[:, sizes.sum(axis=1) == 0] = 0.0  # a node without a cut has no children
@@ -180,13 +255,13 @@ def child_histograms(above: np.ndarray, bins: np.ndarray, node: np.ndarray, rest
 def histograms(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], trees: Trees,
                level: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """Per fit the histogram of its training rows in a block."""
-    views = views_of(data, fits, models)
+    views = views_of(data, fits, models, width)
     for i, (fit, m, split) in enumerate(fits):
         view = views[m]
         end = view.trained(split)
         rest = view.target[:end] - state[view.rows[:end], i]
         node = trees.nodes(fit, view.bins[:, :end], level)
-        yield fit, histogram(view.bins[:, :end], places_of(node, level), rest, 2**level, width)
+        yield fit, histogram(view.joined, places_of(node, level), rest, 2**level)
 
 
 def advance(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], trees: Trees,
@@ -203,22 +278,29 @@ def advance(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], mo
 def grow_alone(data: tuple, state: np.ndarray, fits: list[tuple[int, int, int]], models: Sequence[np.ndarray], rounds: int,
                depth: int, width: int, rate: float) -> np.ndarray:
     """Predictions after some more trees, when the block has all rows: no fit waits for another one, and each row goes down a tree once."""
-    state, views = state.copy(), views_of(data, fits, models)
+    state, views = state.copy(), views_of(data, fits, models, width)
     for i, (_, m, split) in enumerate(fits):
         view = views[m]
         train, end = view.trained(split), view.reached(split)
-        bins, target = np.ascontiguousarray(view.bins[:, :end]), view.target[:train]
+        target, tested = view.target[:train], np.ascontiguousarray(view.bins[:, train:end])
         held = state[view.rows[:end], i]
-        known = None
+        known, more = None, np.empty(end)
+        every, root = np.arange(train), np.zeros(train, np.int64)
         for _ in range(rounds):
-            tree, node, rest = Trees(1, depth), np.zeros(end, np.int64), target - held[:train]
-            found = known = histogram(bins[:, :train], node[:train], rest, 1, width, counts=None if known is None else known[1])
+            tree, rest, members = Trees(1, depth), target - held[:train], [every]
+            found = known = histogram(view.joined, root, rest, 1, counts=None if known is None else known[1])
             for level in range(depth):
                 if level:
-                    found = child_histograms(found, bins[:, :train], node[:train], rest, level, width)
+                    found = child_histograms(found, view.joined, members, rest)
                 tree.grow(0, level, cuts_of(found))
-                node = tree.descend(0, bins, node)
-            held += rate * tree.value[0, node]
+                for node, rows in enumerate(members, 2**level - 1):
+                    if tree.feature[0, node] < 0:
+                        more[rows] = rate * tree.value[0, node]
+                members = list(tree.divide(0, level, view.bins, members))
+            for node, rows in enumerate(members, 2**depth - 1):
+                more[rows] = rate * tree.value[0, node]
+            more[train:] = rate * tree.value[0, tree.nodes(0, tested, depth)]
+            held += more
         state[view.rows[:end], i] = held
     return state
 

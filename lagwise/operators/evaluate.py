@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,10 +136,13 @@ def rolling_trees(df: DataFrame, models: dict[str, Sequence[str]] | None = None,
 def rolling_validation(df: DataFrame, selected: Sequence[str], settings: dict | None = None,
                        min_train_days: int = MIN_TRAIN_DAYS, test_days: int = TEST_DAYS) -> DataFrame:
     """Metrics per split of the three models: baseline, all weather, selected weather."""
-    linear = rolling_linear(df, min_train_days=min_train_days, test_days=test_days)
     models = {"var_all_weather": ALL_WEATHER_FEATURES, "granger_selected": selected}
-    trees = rolling_trees(df, models, settings, min_train_days, test_days)
-    return forecast_metrics(linear.unionByName(trees), min_test=MIN_TEST)
+    # The baseline is a few small jobs, which run beside the trees.
+    with ThreadPoolExecutor(1) as pool:
+        linear = pool.submit(lambda: cut_lineage(forecast_metrics(
+            rolling_linear(df, min_train_days=min_train_days, test_days=test_days), min_test=MIN_TEST)))
+        trees = rolling_trees(df, models, settings, min_train_days, test_days)
+    return linear.result().unionByName(forecast_metrics(trees, min_test=MIN_TEST))
 
 
 def _gain(base: Column, other: Column, floor: float | None = None) -> Column:

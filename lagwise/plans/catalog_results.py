@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -789,8 +790,11 @@ def l5(spark, sf):
 
 @query("l6_evaluation")
 def l6(spark, sf):
-    selected = pipelines.selected_features(b.causal_results(spark, sf))
-    found = pipelines.evaluation(b.stored_features(spark, sf), selected)
+    # The selection and the feature matrix read the records apart from each other.
+    with ThreadPoolExecutor(1) as pool:
+        selected = pool.submit(lambda: pipelines.selected_features(b.causal_results(spark, sf)))
+        features = b.stored_features(spark, sf)
+    found = pipelines.evaluation(features, selected.result())
     return found.select(*[F.to_json(c).alias(c) for c in found.columns])
 
 

@@ -173,18 +173,23 @@ def evaluation(features: DataFrame, selected: list[str], settings: dict | None =
 def _evaluated(rows: DataFrame, selected: list[str], settings: dict | None = None, drift_settings: dict | None = None,
                min_train_days: int = evaluate.MIN_TRAIN_DAYS, test_days: int = evaluate.TEST_DAYS) -> tuple[DataFrame, DataFrame]:
     """The summary and the metrics per split behind it."""
-    metrics = cut_lineage(evaluate.rolling_validation(rows, selected, settings, min_train_days, test_days))
-    reports = evaluate.stability_report(metrics)
     all_columns = [*BASE_FEATURES, *ALL_WEATHER_FEATURES]
-    drift = cut_lineage(
-        models.extreme_weather(rows, all_columns, drift_settings).withColumn("model", F.lit("granger_selected"))
-        .unionByName(models.extreme_weather(rows, BASE_FEATURES, drift_settings).withColumn("model", F.lit("baseline")))
-    )
+
+    def extreme(name: str, columns: list[str]) -> DataFrame:
+        return cut_lineage(models.extreme_weather(rows, columns, drift_settings).withColumn("model", F.lit(name)))
+
+    # The drift analyses are many small jobs, which run beside the rolling validation.
+    with ThreadPoolExecutor(3) as pool:
+        extremes = [pool.submit(extreme, "granger_selected", all_columns), pool.submit(extreme, "baseline", BASE_FEATURES)]
+        seasonal = pool.submit(lambda: cut_lineage(models.seasonal_drift(rows, all_columns)))
+        metrics = cut_lineage(evaluate.rolling_validation(rows, selected, settings, min_train_days, test_days))
+    drift = extremes[0].result().unionByName(extremes[1].result())
+    reports = evaluate.stability_report(metrics)
     packed = F.array_sort(F.collect_list(F.struct("*")))
     summary = evaluate.improvements(reports, drift).select(
         F.struct("*").alias("improvements"),
         reports.agg(packed).scalar().alias("stability_reports"),
-        models.seasonal_drift(rows, all_columns).agg(packed).scalar().alias("seasonal_drift"),
+        seasonal.result().agg(packed).scalar().alias("seasonal_drift"),
         drift.select("model", *[c for c in drift.columns if c != "model"]).agg(packed).scalar().alias("extreme_weather_drift"),
     )
     return summary, metrics

@@ -140,3 +140,45 @@ def test_groups_have_equal_work():
     assert sorted(f for g in groups for f in g) == fits
     sums = [sum(i + 1 for i, _, _ in g) for g in groups]
     assert max(sums) - min(sums) <= 50 and {len(g) for g in groups} <= {6, 7}
+
+
+def test_joined_features_have_their_own_histograms():
+    rng = np.random.default_rng(5)
+    sizes = [32, 2, 7, 1, 16, 9, 2, 30, 8, 3, 2, 2, 17]
+    bins = np.stack([rng.integers(0, s, 4000) for s in sizes]).astype(np.uint8)
+    joined = boosting.Joined(bins)
+    assert len(joined.columns) <= len(sizes) / 2
+    own, rest = rng.integers(0, 5, 4000), rng.integers(-9, 9, 4000).astype(float)
+    rows = np.flatnonzero(rng.random(4000) < 0.3)
+    for found, at in ((boosting.histogram(joined, own, rest, 4), np.arange(4000)), (boosting.histogram(joined, own[rows], rest[rows], 4, rows), rows)):
+        want = np.zeros((2, 5, len(sizes), boosting.BINS))
+        for f in range(len(sizes)):
+            np.add.at(want[0, :, f], (own[at], bins[f, at]), rest[at])
+            np.add.at(want[1, :, f], (own[at], bins[f, at]), 1)
+        assert np.array_equal(found, want[:, :4])
+
+
+@pytest.mark.parametrize("bins", [8, 200])
+def test_joined_features_of_few_and_many_bins(bins):
+    rng = np.random.default_rng(6)
+    data = (rng.integers(0, bins, (500, 3)).astype(np.uint8), rng.integers(0, 9, 500).astype(float), np.sort(rng.integers(-1, 2, 500)).astype(np.int32),
+            np.ones((500, 1), bool), None)
+    fits, models, begin = [(0, 0, 1)], [np.arange(3)], np.zeros((500, 1), np.float32)
+    got = boosting.grow_alone(data, begin, fits, models, 2, 3, bins, 0.5)
+    want = begin
+    for _ in range(2):
+        trees = boosting.Trees(1, 3)
+        for level in range(3):
+            for fit, found in boosting.histograms(data, want, fits, models, trees, level, bins):
+                plain = np.zeros_like(found)
+                view = boosting.View(data, 0, models[0], bins)
+                end = view.trained(1)
+                own = boosting.places_of(trees.nodes(0, view.bins[:, :end], level), level)
+                inside = own < 2**level
+                for f in range(3):
+                    np.add.at(plain[0, :, f], (own[inside], view.bins[f, :end][inside]), (view.target - want[:, 0])[:end][inside])
+                    np.add.at(plain[1, :, f], (own[inside], view.bins[f, :end][inside]), 1)
+                assert np.array_equal(plain, found)
+                trees.grow(fit, level, boosting.cuts_of(found))
+        want = boosting.advance(data, want, fits, models, trees, 3, 0.5)
+    assert np.array_equal(got, want) and not np.array_equal(got, begin)
